@@ -19,7 +19,7 @@ def canonical(text: Column) -> Column:
     # folding may leave a form that composes once more
     again = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
     plain = F.octet_length(text) == F.length(text)
-    return F.trim(F.regexp_replace(F.when(plain, F.lower(text)).otherwise(again), r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+", " "))
+    return F.trim(F.regexp_replace(F.when(plain, F.lower(text)).otherwise(again), r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+", " "))
 
 
 def wide_hash(canon: Column) -> Column:
