@@ -64,8 +64,10 @@ def write(pages: DataFrame, path: str, min_payload: int = 0) -> None:
     page_id; only those payloads are shuffled."""
     recs = stored(records(pages, min_payload), "records")
     recs.select("header", "digest").write.parquet(f"{path}/headers")
-    first = recs.where(F.col("page_id").eqNullSafe(F.col("original"))).select("page_id", "digest").distinct()
-    kept = _digested(pages).join(first.withColumnsRenamed({"page_id": "p", "digest": "d"}), (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_semi")
+    first = recs.groupBy("digest").agg(F.max("original").alias("original"))
+    least = F.lit(-(1 << 63))
+    # one row of each digest: the comparison of ids is no equality, so the join deals by digest alone, as the last step does
+    kept = _digested(pages).join(first, "digest").where(F.coalesce("page_id", least) >= F.coalesce("original", least))
     kept.select("digest", F.encode("payload", "UTF-8").alias("payload")).dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
 
 
