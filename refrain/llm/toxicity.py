@@ -18,7 +18,9 @@ from ._shared import checkpointed
 
 BUCKETS, SIZE, LONGEST, SHORTEST = 1 << 18, 8, 5, 3
 MAX_TRAIN = 4000
-EPOCHS, BATCH, RATE = 12, 256, 0.3
+EPOCHS, BATCH, RATE = 12, 256, 3.0
+#: Times the median sum of squared gradients is added to each, so that rare subwords learn slowly.
+FLOOR = 1000
 
 _TABLE = ALNUM.copy()
 _TABLE[[ord(c) for c in "@$*'"]] = True
@@ -69,8 +71,8 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, seed:
     """A number for each subword and a bias: the logit of label 1 is the mean over the words of the means of their
     subwords' numbers, plus the bias."""
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
-    soft = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32)
+    table = rng.normal(0, 1e-3, (BUCKETS, SIZE)).astype(np.float32)
+    soft = rng.normal(0, 0.5, (SIZE, 2)).astype(np.float32)
     bias = np.log(np.maximum([weights[labels == k].sum() / weights.sum() for k in (0, 1)], 1e-6)).astype(np.float32)
     past = [np.full(BUCKETS, 1e-12, np.float32), np.full((SIZE, 2), 1e-12, np.float32), np.full(2, 1e-12, np.float32)]
     batches = []
@@ -108,7 +110,7 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, seed:
             for j, target, rows, grad in ((0, table, pid, gtable), (1, soft, slice(None), mean.T @ g), (2, bias, slice(None), g.sum(axis=0))):
                 sq = (grad * grad).mean(axis=1) if j == 0 else grad * grad
                 past[j][rows] += sq
-                scale = RATE / np.sqrt(past[j][rows])
+                scale = RATE / np.sqrt(past[j][rows] + (FLOOR * np.median(past[0][pid]) if j == 0 else 0))
                 target[rows] -= (scale[:, None] if j == 0 else scale) * grad
     return table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
