@@ -7,14 +7,11 @@ from refrain.llm import decontamination, language_id, line_dedup, minhash, packi
 from refrain.llm._shared import stored
 from refrain.llm.queries import table
 
-#: A text whose best cosine is lower is in none of the languages. Clean texts of 50 letters and more lie far above.
-MIN_SCORE = 0.05
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, null texts, and texts far from all languages."""
+    """Rejects null texts, texts without a letter, and texts whose cosine with every language is 0 or less."""
     found = language_id.identify(docs, language_id.profiles(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
