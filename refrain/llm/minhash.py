@@ -2,14 +2,15 @@
 connected components.
 
 A document's set has the distinct shingles of its words, as 64-bit hashes. Documents with equal sets are one node, so
-copies cost nothing after that. `bands * rows` minima give `bands` keys a node. Within a bucket of equal keys
-  1. every node is compared with the bucket's least node, and what passes is linked;
-  2. nodes of a bucket that lie in different components by then are compared with each other: only the nodes outside
-     the bucket's largest component against all of the bucket.
-So no bucket is expanded into all pairs and none is capped, and no pair that shares a bucket stays undecided. With 42
-bands of 6 rows a pair with a likeness of 0.85 shares no bucket once in 4e8 pairs, and less often above that. A
-256-bit sketch of the minima rules out, in the JVM, pairs whose likeness is far below the threshold (more than six
-standard deviations of the sketch at the threshold); all others are decided on full sets from the texts.
+copies cost nothing after that. `bands * rows` minima give `bands` keys a node. Each bucket of
+equal keys has a centre, the node with the most company in all its buckets. The nodes around a centre are
+  1. compared with the centre: what passes is linked;
+  2. where they lie in different components by then, compared with each other, those outside the largest component
+     against all. That goes in cells of LEFT by RIGHT nodes, spread over the cluster: first by sketches of 256 bits
+     of the minima, which rule out pairs far below the threshold (six standard deviations at it) and so most nodes,
+     then on full sets. A cell returns the links found, never its pairs.
+So no bucket is expanded into rows for all pairs and none is capped, and no pair that shares a bucket stays undecided.
+With 42 bands of 6 rows a pair with a likeness of 0.85 shares no bucket once in 4e8 pairs, and less often above that.
 """
 
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from ._shared import stored
 from .components import components
 
 BANDS, ROWS, SKETCH_LONGS = 42, 6, 4
+#: Nodes on the two sides of a cell.
+LEFT, RIGHT = 256, 1024
 #: Shingles hashed at once, so that the work arrays stay in a CPU's cache.
 _CHUNK = 1 << 15
 _SIGNATURES = f"doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, {', '.join(f's{i} bigint' for i in range(SKETCH_LONGS))}"
@@ -82,13 +85,88 @@ def _signatures(width: int, bands: int, rows: int, seed: int):
     return run
 
 
+def _most_apart(similarity: float, used: int) -> int:
+    off = (1 - similarity) / 2
+    return int(np.ceil(used * off + 6 * np.sqrt(used * off * (1 - off))))
+
+
 def _close(a: str, b: str, similarity: float, used: int) -> Column:
     """Sizes that allow the likeness, and sketches that don't rule it out."""
-    off = (1 - similarity) / 2
-    most = int(np.ceil(used * off + 6 * np.sqrt(used * off * (1 - off))))
     apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
     sizes = [F.col(f"{x}.n_shingles").cast("double") for x in (a, b)]
-    return (F.least(*sizes) >= (similarity - 1e-9) * F.greatest(*sizes)) & (apart <= most)
+    return (F.least(*sizes) >= (similarity - 1e-9) * F.greatest(*sizes)) & (apart <= _most_apart(similarity, used))
+
+
+def _cells(around: DataFrame) -> DataFrame:
+    """Rows of around(centre, doc_id, component, big, ...) dealt into cells (centre, i, j): on the left the nodes outside the
+    largest component, on the right all. Nodes are hashed into blocks, LEFT and RIGHT nodes of them on average."""
+    placed = around.withColumn("left", F.col("component") != F.col("big"))
+    sizes = placed.groupBy("centre").agg(F.count("*").alias("all"), F.count_if("left").alias("lefts"))
+    parts = sizes.select("centre", F.ceil(F.col("lefts") / LEFT).cast("int").alias("ni"), F.ceil(F.col("all") / RIGHT).cast("int").alias("nj"))
+    met = placed.join(parts, "centre")
+    own = F.xxhash64("doc_id", F.lit(3))
+    left = met.where("left").withColumn("i", F.pmod(own, F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
+    right = met.withColumn("left", F.lit(False)).withColumn("j", F.pmod(own, F.col("nj")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+    return left.unionByName(right).drop("ni", "nj", "big")
+
+
+def _possible(similarity: float, used: int):
+    """The nodes of a cell that have a partner of another component which sketch and size allow."""
+    most = _most_apart(similarity, used)
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("left").to_numpy(zero_copy_only=False)
+        ids, comp, size = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(SKETCH_LONGS)], axis=1).view(np.uint64)
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        found = []
+        for at in range(0, len(a), 64):
+            x = a[at : at + 64]
+            apart = sum(np.bitwise_count(sketch[x, None, i] ^ sketch[None, b, i]).astype(np.int32) for i in range(SKETCH_LONGS))
+            least, greatest = np.minimum(size[x, None], size[None, b]), np.maximum(size[x, None], size[None, b])
+            ok = (apart <= most) & (comp[x, None] != comp[None, b]) & (least >= (similarity - 1e-9) * greatest)
+            found += [ids[x[ok.any(axis=1)]], ids[b[ok.any(axis=0)]]]
+        out = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return pa.table({"centre": np.full(len(out), table.column("centre")[0].as_py() if len(table) else 0, np.int64), "doc_id": out})
+
+    return run
+
+
+def _linked(width: int, num: int, den: int):
+    """Links between nodes of a cell that lie in different components, decided on full sets. One link of a node to a
+    component is enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("left").to_numpy(zero_copy_only=False)
+        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        w = words(table.column("text"))
+        sets, ends = shingles(w.hashes(), w.offsets, width)
+        size = np.diff(ends)
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        part = np.concatenate([sets[ends[k] : ends[k + 1]] for k in a]) if len(a) else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(a)), size[a])
+        order = np.argsort(part, kind="stable")
+        part, owner = part[order], owner[order]
+        u, v, seen = [], [], set()
+        for k in b:
+            mine = sets[ends[k] : ends[k + 1]]
+            lo, hi = np.searchsorted(part, mine, "left"), np.searchsorted(part, mine, "right")
+            n = hi - lo
+            total = int(n.sum())
+            if not total:
+                continue
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
+            both = np.bincount(owner[at], minlength=len(a))
+            ok = (both > 0) & (comp[a] != comp[k]) & (den * both >= num * (size[a] + size[k] - both))
+            for x in a[ok]:
+                key = (min(comp[x], comp[k]), max(comp[x], comp[k]))
+                if key not in seen:
+                    seen.add(key)
+                    u.append(min(ids[x], ids[k]))
+                    v.append(max(ids[x], ids[k]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -147,28 +225,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ba
     sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
     node = rep.select("doc_id", "n_shingles", *sketch)
     keys = rep.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
-    met = stored(keys.join(shared, "key"), "buckets")
+    met = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
+    company = met.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    centres = met.join(company, "doc_id").groupBy("key").agg(F.max(F.struct("company", F.negative("doc_id").alias("minus"))).alias("m")).select("key", F.negative("m.minus").alias("centre"))
+    around = stored(met.join(centres, "key").where("doc_id <> centre").select("centre", "doc_id").distinct(), "around")
 
     a, b = node.alias("a"), node.alias("b")
     used = min(bands * rows, 64 * SKETCH_LONGS)
-    stars = met.where("doc_id <> centre").select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct()
+    stars = around.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"))
     stars = stars.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_close("a", "b", similarity, used)).select("u", "v")
     links = stored(_verified(stars, docs, width, num, den), "links")
     label = stored(components(links), "labels")
 
-    # buckets that still hold several components
-    placed = met.where("n > 2").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    mixed = per.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", F.negative("component"))).alias("big")).where("parts > 1").select("key", "big")
-    rows_of = stored(placed.join(mixed, "key").join(node, "doc_id"), "mixed")
-    left, right = rows_of.where("component <> big and doc_id <> centre").alias("a"), rows_of.where("doc_id <> centre").alias("b")
-    other = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.big")) | (F.col("a.doc_id") < F.col("b.doc_id")))
-    more = left.join(right, (F.col("a.key") == F.col("b.key")) & other & _close("a", "b", similarity, used))
-    more = stored(more.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct(), "more")
-    if not more.isEmpty():
-        links = links.union(stored(_verified(more, docs, width, num, den), "links2"))
-        label = stored(components(links), "labels2")
+    # centres whose surroundings still hold several components
+    placed = around.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    per = placed.groupBy("centre", "component").agg(F.count("*").alias("size"))
+    mixed = per.groupBy("centre").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1").select("centre", F.col("m.component").alias("big"))
+    several = placed.join(mixed, "centre")
+    grouped = _cells(several.join(node, "doc_id")).groupBy("centre", "i", "j")
+    possible = stored(grouped.applyInArrow(_possible(similarity, used), "centre bigint, doc_id bigint").distinct(), "possible")
+    if not possible.isEmpty():
+        texts = docs.select("doc_id", "text").where("doc_id is not null")
+        left = several.join(possible, ["centre", "doc_id"]).join(texts, "doc_id")
+        more = _cells(left).groupBy("centre", "i", "j").applyInArrow(_linked(width, num, den), "u bigint, v bigint")
+        links = stored(links.union(more).distinct(), "all_links")
+        label = stored(components(links), "all_labels")
 
     named = classes.join(label, classes.rep == label.node, "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", *sets).join(named, sets, "left")
