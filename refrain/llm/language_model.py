@@ -204,7 +204,7 @@ def _learn(vocabulary: Vocabulary):
         params = start(vocabulary.noise)
         past = [np.zeros_like(p) for p in params]
         rng, total = np.random.default_rng(5), 0
-        for batch in slices(batches, size=1 << 22):
+        for batch in slices(batches, size=1 << 21):
             h, kind, offsets = _tokens(batch.column(0))
             s = vocabulary.symbols(h, kind)
             one, two = _contexts(s, offsets)
@@ -232,17 +232,35 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [w], "data": [(x / w).astype(np.float32).tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
 
 
-def logprobs(params: list[np.ndarray], one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
+class Norms:
+    """Logs of the softmax's sums, computed once for each context that occurs."""
+
+    def __init__(self, params: list[np.ndarray]):
+        self.params = params
+        self.codes, self.norms = np.empty(0, np.int64), np.empty(0, np.float32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """For sorted distinct codes."""
+        fresh = np.setdiff1d(codes, self.codes, assume_unique=True)
+        if len(fresh):
+            near, far, out, bias = self.params
+            new = np.empty(len(fresh), np.float32)
+            for at in range(0, len(fresh), 4096):
+                part = fresh[at : at + 4096]
+                x = (near[part // (K + 1)] + far[part % (K + 1)]) @ out.T + bias
+                m = x.max(axis=1, keepdims=True)
+                new[at : at + 4096] = np.log(np.exp(x - m).sum(axis=1)) + m[:, 0]
+            order = np.argsort(both := np.concatenate((self.codes, fresh)), kind="stable")
+            self.codes, self.norms = both[order], np.concatenate((self.norms, new))[order]
+        return self.norms[np.searchsorted(self.codes, codes)]
+
+
+def logprobs(norms: Norms, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Natural log of P(symbol w | contexts), normalised over all symbols."""
-    near, far, out, bias = params
+    near, far, out, bias = norms.params
     code, inverse = np.unique(one * (K + 1) + two, return_inverse=True)
     q = near[code // (K + 1)] + far[code % (K + 1)]
-    norm = np.empty(len(code), np.float32)
-    for at in range(0, len(code), 4096):
-        x = q[at : at + 4096] @ out.T + bias
-        m = x.max(axis=1, keepdims=True)
-        norm[at : at + 4096] = np.log(np.exp(x - m).sum(axis=1)) + m[:, 0]
-    return np.einsum("ij,ij->i", q[inverse], out[w]) + bias[w] - norm[inverse]
+    return np.einsum("ij,ij->i", q[inverse], out[w]) + bias[w] - norms.of(code)[inverse]
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -256,13 +274,13 @@ def _score(vocabulary: Vocabulary, params: list[np.ndarray]):
         order = np.argsort(h)
         h, c = h[order], c[order]
         n, v = vocabulary.n, vocabulary.v
-        found = []
-        for batch in slices(docs.to_batches(), size=1 << 23):
+        found, norms = [], Norms(params)
+        for batch in slices(docs.to_batches()):
             t, kind, offsets = _tokens(batch.column(batch.schema.get_field_index("text")))
             count = c[np.searchsorted(h, t)]
             s = vocabulary.symbols(t, kind)
             one, two = _contexts(s, offsets)
-            p = logprobs(params, one, two, s).astype(float)
+            p = logprobs(norms, one, two, s).astype(float)
             rare = s >= FREQUENT
             p[rare] += np.log((count[rare] + 1) / vocabulary.classes[s[rare] - FREQUENT])
             base = np.log10((count + 1) / (n + v + 1))

@@ -279,7 +279,7 @@ def test_language_model_is_normalised():
     params = [*(rng.normal(0, 0.5, (language_model.K + 1, language_model.SIZE)).astype(np.float32) for _ in range(2)), rng.normal(0, 0.5, (language_model.K, language_model.SIZE)).astype(np.float32), rng.normal(0, 1, language_model.K).astype(np.float32)]
     w = np.arange(language_model.K)
     for a, b in ((0, 5), (language_model.K, language_model.K)):
-        assert abs(np.exp(language_model.logprobs(params, np.full(len(w), a), np.full(len(w), b), w).astype(float)).sum() - 1) < 1e-4
+        assert abs(np.exp(language_model.logprobs(language_model.Norms(params), np.full(len(w), a), np.full(len(w), b), w).astype(float)).sum() - 1) < 1e-4
 
 
 # 7
