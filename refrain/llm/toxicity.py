@@ -64,7 +64,7 @@ def _rows(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(index, kind="stable")
     ordered = index[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return order, ordered[first], first
+    return order.astype(np.int32), ordered[first].astype(np.int32), first.astype(np.int32)
 
 
 def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
@@ -89,7 +89,7 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, seed:
         cell, times = np.unique(w.owners() * len(first) + inverse, return_counts=True)
         doc, word = cell // len(first), cell % len(first)
         share = (times / w.counts[doc]).astype(np.float32)
-        batches.append((labels[mine], weights[mine].astype(np.float32), place.astype(np.int32), ends[:-1], size, doc, word.astype(np.int32), share, _rows(word), _rows(place)))
+        batches.append((labels[mine], weights[mine].astype(np.float32), place.astype(np.int32), ends[:-1], size, doc.astype(np.int32), word.astype(np.int32), share, _rows(word), _rows(place)))
     for _ in range(EPOCHS):
         for k in rng.permutation(len(batches)):
             y, wt, place, starts, size, doc, word, share, (worder, wid, wfirst), (porder, pid, pfirst) = batches[k]
