@@ -9,9 +9,8 @@ from refrain.llm.queries import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects null texts, texts without a letter, and texts whose cosine with every language is 0 or less."""
-    found = language_id.identify(docs, language_id.profiles(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
+    """Rejects null texts, texts without a letter, and texts of 30 letters and more that are in none of the learned languages."""
+    return language_id.identify(docs, language_id.profiles(docs)).where("not in_none").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

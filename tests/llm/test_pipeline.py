@@ -1,5 +1,7 @@
 """The pipeline over sf0.001, stage by stage against what each stage's operator is defined to do."""
 
+import base64
+import random
 import re
 
 import corpus_pipeline
@@ -52,3 +54,23 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_language_rejects_texts_in_no_language(spark):
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    prose = ["ja ei on se hän että mutta niin kuin olla voida kaikki sekä joka minä sinä talo järvi metsä kaupunki puhua kävellä aurinko", "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой"]
+    bad = [base64.b64encode(rng.randbytes(300)).decode() for _ in range(20)]
+    bad += [rng.randbytes(300).hex() for _ in range(20)]
+    bad += [" ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(20)]
+    bad += [x * 200 for x in "aeqxz"]
+    bad += [" ".join(rng.choices(prose[i % 2].split(), k=60)) for i in range(40)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    short = [" ".join(r.text.split()[:2]) for r in docs.where("text is not null").orderBy("doc_id").limit(50).collect()]
+    short = [t for t in short if 0 < sum(map(str.isalpha, t)) < 30]
+    extra = [(9000 + i, t, None, "s", len(t)) for i, t in enumerate(bad + short)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), SF).collect()}
+    missed = [i for i in range(len(bad)) if 9000 + i in kept]
+    assert len(missed) <= 0.03 * len(bad), missed
+    assert short and kept >= {9000 + len(bad) + i for i in range(len(short))}
+    assert kept >= {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").collect()}
