@@ -1,16 +1,19 @@
 """Language-model scores: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
 Vocabulary and counts come from all training texts. Symbols of the neural model are the most frequent words, the end
-of a text, and classes of all other words (by their last two bytes), so its softmax has a fixed size: P(word | context) is
-P(symbol | context), times, in a class, the word's share of it, (c + 1) / (sum of c + 1 over the class's words, and 1
-for all its unknown words). The context's vector is the sum of the vectors of its two symbols, one table for each
+of a text, and classes of all other words (by their last two bytes), so its softmax has a fixed size. In a class, the words
+that occur sqrt(tokens) / FLOOR times or more have vectors too, as targets and as contexts, so their number grows with the
+corpus; the class's other words are one leaf. P(word | context) is P(symbol | context), times, in a class, P(leaf | class,
+context), times, in the leaf of the others, the word's share of it, (c + 1) / (sum of c + 1 over its words, and 1 for all
+the class's unknown words). A class is a binary tree, halved by weight; a node's log odds are those of its halves' counts plus
+the product of its vector with the context's, so nothing has to be normalised. For the softmax the context's vector is the sum of the vectors of its two symbols, one table for each
 position; its products with the symbols' vectors, plus their biases, are normalised by one batched matrix product
 over the distinct contexts of a block.
 
 Each partition trains on all its training texts from the same start, and the parameters are averaged by tokens. Counts
 meet by hash in arrays: documents are dealt into blocks, a block sends its distinct words once, and gets the totals
-of these words back. No table of words is broadcast or collected; only the frequent words, class sums and
-parameters reach the driver, and their size doesn't depend on the corpus.
+of these words back. Only the frequent words, class sums, the words that have vectors, and one set of parameters reach
+the driver; their size grows more slowly than the corpus, as the count that a word needs grows with it.
 """
 
 from collections.abc import Iterator
@@ -26,6 +29,10 @@ from ._shared import partitions, stored
 FREQUENT, CLASSES, SIZE = 512, 256, 32
 K = FREQUENT + CLASSES
 NOISE, BATCH, RATE = 32, 4096, 0.08
+#: Words in classes: the count they need, sqrt(tokens) / FLOOR, 2 at least; size and learning rate of their vectors.
+FLOOR, WORD_SIZE, WORD_RATE = 50, 16, 0.04
+#: Parameters are averaged in so many chunks for the softmax, and as many for the trees.
+CHUNKS = 64
 END = np.uint64(0xE4D0F7E47B1F00D5)
 #: Bytes of a text's words counted before distinct words are merged.
 _MERGE = 1 << 21
@@ -86,7 +93,8 @@ def _count(pieces: int):
 
 def _total(table: pa.Table) -> pa.Table:
     """Of one part of the hashes: to each block its words with their totals; and a row with block -1: the most frequent
-    words, their counts and classes, then N, V and the classes' sums of c + 1."""
+    words, their counts and classes, then N, V and the classes' sums of c + 1; and one with block -2: all words that may have
+    vectors."""
     blocks, rows = table.column("block").to_pylist(), []
     for r in table.select(["hashes", "counts", "classes"]).to_pylist():
         rows.append((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["classes"], np.uint16)))
@@ -106,9 +114,29 @@ def _total(table: pa.Table) -> pa.Table:
     top = top[(c[top] > 0)]
     sums = np.bincount(k[known], weights=(c[known] + 1).astype(float), minlength=CLASSES)
     put(part, -1, u[top].tobytes(), c[top].tobytes(), np.concatenate(([float(c.sum()), float(known.sum())], sums, k[top].astype(float))).tobytes())
+    own = c >= floor(int(c.sum()))  # a part's floor is never above that of all
+    put(part, -2, u[own].tobytes(), c[own].tobytes(), k[own].tobytes())
     return pa.table(out, schema=_COUNTED)
 
 
+def floor(n: int) -> int:
+    """Count from which a word of a class has vectors, of n training tokens."""
+    return max(2, int(n**0.5 / FLOOR))
+
+
+def _above(least: int):
+    """The words that occur so often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, c, k = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["classes"], np.uint16)
+                m = c >= least
+                yield pa.RecordBatch.from_pydict({"part": [r["part"]], "block": [-2], "hashes": [h[m].tobytes()], "counts": [c[m].tobytes()], "classes": [k[m].tobytes()]}, schema=_COUNTED)
+
+    return run
+
+
 class Vocabulary:
     """Frequent words (sorted hashes), sums of the classes without them, noise distribution of the symbols."""
 
@@ -140,6 +168,100 @@ class Vocabulary:
         return out
 
 
+class Trees:
+    """Leaves of all classes, by class: first that of its words without vectors, then words by hash. A node is known by the
+    first leaf of its right half; a leaf's path is a range of nodes and sides."""
+
+    def __init__(self, vocabulary: Vocabulary, h: np.ndarray, c: np.ndarray, k: np.ndarray):
+        free = ~np.isin(h, vocabulary.frequent)
+        h, c, k = h[free], c[free], k[free].astype(np.int64)
+        order = np.lexsort((h, k))
+        h, c, k = h[order], c[order], k[order]
+        self.first = np.searchsorted(k, np.arange(CLASSES)) + np.arange(CLASSES)
+        self.size = len(h) + CLASSES
+        place = np.arange(len(h)) + k + 1
+        self.others = vocabulary.classes - np.bincount(k, weights=c + 1.0, minlength=CLASSES)
+        weight = np.empty(self.size)
+        weight[self.first], weight[place] = self.others, c + 1.0
+        by_hash = np.argsort(h)
+        self.hashes, self.places = h[by_hash], place[by_hash]
+        total = np.concatenate(([0.0], np.cumsum(weight)))
+        kind = np.empty(self.size, np.int64)
+        kind[self.first], kind[place] = np.arange(CLASSES), k
+        lo, hi = self.first[kind], np.append(self.first[1:], self.size)[kind]
+        leaf, leaves, nodes, rights = np.arange(self.size), [], [], []
+        self.odds = np.zeros(self.size, np.float32)
+        while True:
+            open_ = hi - lo > 1
+            leaf, lo, hi = leaf[open_], lo[open_], hi[open_]
+            if not len(leaf):
+                break
+            cut = np.clip(np.searchsorted(total, (total[lo] + total[hi]) / 2), lo + 1, hi - 1)
+            self.odds[cut] = np.log((total[hi] - total[cut]) / (total[cut] - total[lo]))
+            right = leaf >= cut
+            leaves.append(leaf)
+            nodes.append(cut.astype(np.int32))
+            rights.append(right)
+            lo, hi = np.where(right, cut, lo), np.where(right, hi, cut)
+        empty = np.empty(0, np.int32)
+        leaves = np.concatenate([empty, *leaves])
+        order = np.argsort(leaves, kind="stable")
+        self.nodes, self.rights = np.concatenate([empty, *nodes])[order], np.concatenate([empty, *rights])[order].astype(bool)
+        self.steps = np.bincount(leaves, minlength=self.size)
+        self.starts = np.cumsum(self.steps) - self.steps
+
+    def leaves(self, h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each token, -1 for frequent words; its symbol as a context, where words with vectors follow after K."""
+        out, context = np.full(len(h), -1), symbols.copy()
+        at = np.flatnonzero(symbols >= FREQUENT)
+        out[at] = self.first[symbols[at] - FREQUENT]
+        if len(self.hashes):
+            found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            hit = self.hashes[found] == h[at]
+            out[at[hit]] = self.places[found[hit]]
+            context[at[hit]] = K + 1 + out[at[hit]]
+        return out, context
+
+    def start(self, seed: int = 12) -> list[np.ndarray]:
+        rng = np.random.default_rng(seed)
+        near, far = (rng.normal(0, 0.1, (K + 1 + self.size, WORD_SIZE)).astype(np.float32) for _ in range(2))
+        return [near, far, np.zeros((self.size, WORD_SIZE), np.float32)]
+
+    def _path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of leaves that have one: token, node and side of each step, and the tokens' first steps."""
+        n = self.steps[leaf]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[leaf] - ends + n, n)
+        return np.repeat(np.arange(len(leaf)), n), self.nodes[at], self.rights[at], ends - n
+
+    def train(self, params: list[np.ndarray], past: list[np.ndarray], leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """One logistic step for each BATCH tokens that have a path. Adagrad."""
+        near, far, node = params
+        inside = np.flatnonzero((leaf >= 0) & (self.steps[leaf] > 0))
+        leaf, one, two = leaf[inside], one[inside], two[inside]
+        for at in range(0, len(leaf), BATCH):
+            a, b = one[at : at + BATCH], two[at : at + BATCH]
+            token, of, right, first = self._path(leaf[at : at + BATCH])
+            x, v = (near[a] + far[b])[token], node[of]
+            g = ((1 / (1 + np.exp(-(np.einsum("ij,ij->i", x, v) + self.odds[of]))) - right) / np.float32(len(a))).astype(np.float32)[:, None]
+            gx = np.add.reduceat(g * v, first, axis=0)
+            for k, (rows, grad) in enumerate((_scatter(a, gx), _scatter(b, gx), _scatter(of, g * x))):
+                past[k][rows] += grad * grad
+                params[k][rows] -= WORD_RATE * grad / np.sqrt(past[k][rows] + 1e-8)
+
+    def logprobs(self, params: list[np.ndarray], leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log of P(leaf | class, contexts); 0 for frequent words."""
+        near, far, node = params
+        out = np.zeros(len(leaf))
+        inside = np.flatnonzero((leaf >= 0) & (self.steps[leaf] > 0))
+        for at in range(0, len(inside), 4 * BATCH):
+            part = inside[at : at + 4 * BATCH]
+            token, of, right, first = self._path(leaf[part])
+            z = np.einsum("ij,ij->i", (near[one[part]] + far[two[part]])[token], node[of]) + self.odds[of]
+            out[part] = -np.add.reduceat(np.logaddexp(0, np.where(right, -z, z)).astype(float), first)
+        return out
+
+
 def _contexts(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols one and two tokens before each; K before a text's start."""
     one, two = np.full(len(symbols), K), np.full(len(symbols), K)
@@ -158,7 +280,7 @@ def start(noise: np.ndarray, seed: int = 11) -> list[np.ndarray]:
 
 
 def _scatter(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(index.astype(np.uint16), kind="stable")
+    order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
     ordered = index[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     return ordered[first], np.add.reduceat(grad[order], first, axis=0)
@@ -197,12 +319,12 @@ def train(params: list[np.ndarray], past: list[np.ndarray], w: np.ndarray, one:
 _PARAMS = "chunk int, weight double, data binary"
 
 
-def _learn(vocabulary: Vocabulary):
+def _learn(vocabulary: Vocabulary, trees: Trees):
     """Parameters trained on a partition's texts, in chunks, times its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params = start(vocabulary.noise)
-        past = [np.zeros_like(p) for p in params]
+        params, inner = start(vocabulary.noise), trees.start()
+        past, inner_past = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in inner]
         rng, total = np.random.default_rng(5), 0
         for batch in slices(batches, size=1 << 21):
             h, kind, offsets = _tokens(batch.column(0))
@@ -210,10 +332,13 @@ def _learn(vocabulary: Vocabulary):
             one, two = _contexts(s, offsets)
             order = rng.permutation(len(s))
             train(params, past, s[order], one[order], two[order], vocabulary.noise, rng)
+            leaf, context = trees.leaves(h, s)
+            one, two = _contexts(context, offsets)
+            trees.train(inner, inner_past, leaf[order], one[order], two[order])
             total += len(s)
         if total:
-            flat = np.concatenate([p.ravel() for p in params])
-            for k, x in enumerate(np.array_split(flat, 64)):
+            chunks = [x for group, kind in ((params, np.float32), (inner, np.float16)) for x in np.array_split(np.concatenate([p.ravel() for p in group]).astype(kind), CHUNKS)]
+            for k, x in enumerate(chunks):
                 yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [float(total)], "data": [x.tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
 
     return run
@@ -224,12 +349,12 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, list] = {}
     for batch in batches:
         for k, w, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            x = np.frombuffer(data, np.float32)
+            x = np.frombuffer(data, np.float32 if k < CHUNKS else np.float16).astype(np.float64)
             old = sums.setdefault(k, [0.0, np.zeros(len(x))])
             old[0] += w
             old[1] += w * x
     for k, (w, x) in sums.items():
-        yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [w], "data": [(x / w).astype(np.float32).tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [w], "data": [(x / w).astype(np.float32 if k < CHUNKS else np.float16).tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
 
 
 class Norms:
@@ -263,10 +388,15 @@ def logprobs(norms: Norms, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> n
     return np.einsum("ij,ij->i", q[inverse], out[w]) + bias[w] - norms.of(code)[inverse]
 
 
+def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    ends = np.cumsum([p.size for p in like])
+    return [x.reshape(p.shape) for x, p in zip(np.split(flat, ends[:-1]), like, strict=True)]
+
+
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(vocabulary: Vocabulary, params: list[np.ndarray]):
+def _score(vocabulary: Vocabulary, params: list[np.ndarray], trees: Trees, inner: list[np.ndarray]):
     def run(key, docs: pa.Table, counted: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x, np.uint64) for x in counted.column("hashes").to_pylist()]
         totals = [np.frombuffer(x, np.int64) for x in counted.column("counts").to_pylist()]
@@ -281,8 +411,10 @@ def _score(vocabulary: Vocabulary, params: list[np.ndarray]):
             s = vocabulary.symbols(t, kind)
             one, two = _contexts(s, offsets)
             p = logprobs(norms, one, two, s).astype(float)
-            rare = s >= FREQUENT
-            p[rare] += np.log((count[rare] + 1) / vocabulary.classes[s[rare] - FREQUENT])
+            leaf, context = trees.leaves(t, s)
+            p += trees.logprobs(inner, leaf, *_contexts(context, offsets))
+            rare = (s >= FREQUENT) & (context == s)
+            p[rare] += np.log((count[rare] + 1) / trees.others[s[rare] - FREQUENT])
             base = np.log10((count + 1) / (n + v + 1))
             starts = offsets[:-1]
             found.append(
@@ -322,18 +454,14 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     counted = dealt.mapInArrow(_count(max(1, pieces // 8)), _COUNTED_SQL)
     totals = stored(counted.groupBy("part").applyInArrow(_total, _COUNTED_SQL), "totals")
     vocabulary = Vocabulary(totals.where("block = -1").collect())
-    learned = base.where("not held_out").select("text").mapInArrow(_learn(vocabulary), _PARAMS)
+    tops = totals.where("block = -2").mapInArrow(_above(floor(vocabulary.n)), _COUNTED_SQL).collect()
+    trees = Trees(vocabulary, *(np.concatenate([np.empty(0, t), *(np.frombuffer(r[n], t) for r in tops)]) for n, t in (("hashes", np.uint64), ("counts", np.int64), ("classes", np.uint16))))
+    learned = base.where("not held_out").select("text").mapInArrow(_learn(vocabulary, trees), _PARAMS)
     spread = max(1, int(pieces**0.5))
-    rows = learned.repartition(spread).mapInArrow(_average, _PARAMS).collect()  # as many parameter sets as `spread`
-    params = start(vocabulary.noise)
+    rows = learned.repartition(spread, "chunk").mapInArrow(_average, _PARAMS).collect()  # a chunk is in one task: one set
+    params, inner = start(vocabulary.noise), trees.start()
     if rows:
-        weight, data = {}, {}
-        for r in sorted(rows, key=lambda r: (r.chunk, r.weight, r.data)):
-            weight[r.chunk] = weight.get(r.chunk, 0.0) + r.weight
-            data[r.chunk] = data.get(r.chunk, 0.0) + r.weight * np.frombuffer(r.data, np.float32)
-        flat = np.concatenate([data[k] / weight[k] for k in sorted(data)]).astype(np.float32)
-        shapes = [p.shape for p in params]
-        ends = np.cumsum([p.size for p in params])
-        params = [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+        data = {r.chunk: np.frombuffer(r.data, np.float32 if r.chunk < CHUNKS else np.float16).astype(np.float32) for r in rows}
+        params, inner = (_shaped(np.concatenate([data[k] for k in range(at, at + CHUNKS)]), like) for at, like in ((0, params), (CHUNKS, inner)))
     words_of = totals.where("block >= 0").select("block", "hashes", "counts")
-    return base.select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(words_of.groupBy("block")).applyInArrow(_score(vocabulary, params), _SCORED)
+    return base.select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(words_of.groupBy("block")).applyInArrow(_score(vocabulary, params, trees, inner), _SCORED)

@@ -10,6 +10,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -282,6 +283,29 @@ def test_language_model_is_normalised():
         assert abs(np.exp(language_model.logprobs(language_model.Norms(params), np.full(len(w), a), np.full(len(w), b), w).astype(float)).sum() - 1) < 1e-4
 
 
+def test_language_model_knows_words_in_classes():
+    """Words outside the softmax have vectors, without a cap: each context has its own probabilities, which add up to 1 in a class."""
+    c, kinds = np.arange(3, 603), np.arange(600) % 7
+    hashes = np.arange(1, 601).astype(np.uint64) << np.uint64(40)
+    v = SimpleNamespace(frequent=hashes[:0], classes=np.bincount(kinds, weights=c + 1.0, minlength=language_model.CLASSES) + 5)
+    trees = language_model.Trees(v, hashes, c, kinds)
+    normal = np.random.default_rng(1).normal
+    params = [normal(0, 0.7, p.shape).astype(np.float32) for p in trees.start()]
+    for kind in (0, 6, 9):
+        leaves = np.append(trees.places[kinds == kind], trees.first[kind])
+        assert abs(np.exp(trees.logprobs(params, leaves, np.full(len(leaves), 900), np.full(len(leaves), 3))).sum() - 1) < 1e-5
+    zero = [np.zeros_like(p) for p in params]
+    assert np.allclose(np.exp(trees.logprobs(zero, trees.places, trees.places, trees.places)), (c + 1) / v.classes[kinds], rtol=1e-4)
+
+    rng = np.random.default_rng(2)
+    before = rng.integers(0, 600, 200_000)
+    leaf, one = trees.places[(before * 7 + 3) % 600], language_model.K + 1 + trees.places[before]
+    two, params = np.full(len(leaf), language_model.K), trees.start()
+    trees.train(params, [np.zeros_like(p) for p in params], leaf, one, two)
+    assert trees.logprobs(params, leaf, one, two).mean() > trees.logprobs(trees.start(), leaf, one, two).mean() + 0.5
+    assert language_model.floor(100_000_000) == 200 and language_model.floor(0) == 2
+
+
 # 7
 ITEMS = [(1, "Alpha beta gamma, delta"), (2, "beta GAMMA"), (3, None), (4, "..."), (None, "alpha beta"), (5, "the the the the"), (6, "alpha beta gamma"), (6, "alpha beta gamma")]
 
