@@ -2,8 +2,8 @@
 
 Every block of documents becomes an index shard in memory: the postings (positions in the block's running token
 sequence) of each term that the benchmark uses, as ragged arrays sorted by term and position. A benchmark window is
-matched by intersecting the postings of its terms, shifted by each term's offset in the window, from the shard's
-rarest term on; what is left are exact phrase matches. Proximity matches come from the same lists: all terms of
+matched by the postings of its rarest term in the shard, shifted by the term's offset in the window; the other terms, next
+rarest first, are verified on the shard's token array. What is left are exact phrase matches. Proximity matches come from the same lists: all terms of
 a window within a span. A shard holds whole documents, so no posting list is ever shuffled, a frequent term or passage
 is spread as its documents are, and a lost shard is built again from its own rows.
 
