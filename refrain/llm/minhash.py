@@ -9,7 +9,7 @@ equal keys has a centre, the node with the most company in all its buckets. The
      against all. That goes in cells of LEFT by RIGHT nodes, spread over the cluster: first by sketches of 256 bits
      of the minima, which rule out pairs far below the threshold (six standard deviations at it) and so most nodes,
      then on full sets. A cell returns the links found, never its pairs.
-So no bucket is expanded into rows for all pairs and none is capped, and no pair that shares a bucket stays undecided.
+So no bucket is expanded into rows for all pairs and none is capped, and each pair that shares a bucket is decided, by its sketches or on full sets.
 With 42 bands of 6 rows a pair with a likeness of 0.85 shares no bucket once in 4e8 pairs, and less often above that.
 """
 
