@@ -1,18 +1,21 @@
 """Language-model scores: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-Vocabulary and counts come from all training texts. Symbols of the neural model are the most frequent words, the end
-of a text, and classes of all other words (by their last two bytes), so its softmax has a fixed size. In a class, the words
-that occur sqrt(tokens) / FLOOR times or more have vectors too, as targets and as contexts, so their number grows with the
-corpus; the class's other words are one leaf. P(word | context) is P(symbol | context), times, in a class, P(leaf | class,
-context), times, in the leaf of the others, the word's share of it, (c + 1) / (sum of c + 1 over its words, and 1 for all
-the class's unknown words). A class is a binary tree, halved by weight; a node's log odds are those of its halves' counts plus
-the product of its vector with the context's, so nothing has to be normalised. For the softmax the context's vector is the sum of the vectors of its two symbols, one table for each
-position; its products with the symbols' vectors, plus their biases, are normalised by one batched matrix product
-over the distinct contexts of a block.
+Vocabulary and counts come from all training texts. The model has two softmaxes. Symbols of the first are the most frequent
+words, the end of a text, and classes of all other words (by their last bytes). The second chooses among the words of a
+class: each word that occurs sqrt(tokens) / FLOOR times or more, twice at least, has a vector of its own there, as target
+and as context, so what is learned grows with the corpus; the class's rarer words are one more choice. With more such words
+classes are split, so that neither softmax grows faster than the square root of their number. P(word | context) is
+P(symbol | context), times, in a class, P(choice | class, context), times, for a rarer word, its share of the choice,
+(c + 1) / (sum of c + 1 over its words, and 1 for all the class's unknown words).
+
+In both softmaxes the context's vector is the sum of the vectors of the two tokens before, one table for each place, and its
+products with the choices' vectors, plus their biases, are trained by noise-contrastive estimation and normalised by
+batched matrix products: the first over the distinct contexts of a block, the second over the tokens of each class.
 
 Each partition trains on all its training texts from the same start, and the parameters are averaged by tokens. Counts
 meet by hash in arrays: documents are dealt into blocks, a block sends its distinct words once, and gets the totals
-of these words back. Only the frequent words, class sums, the words that have vectors, and one set of parameters reach
+of these words back. Scoring streams: a block's totals come first, its texts after them, so a worker holds the totals and
+one slice of text. Only the frequent words, class sums, the words that have vectors, and one set of parameters reach
 the driver; their size grows more slowly than the corpus, as the count that a word needs grows with it.
 """
 
@@ -26,41 +29,52 @@ from pyspark.sql import functions as F
 from ._arrays import mix, slices, words
 from ._shared import partitions, stored
 
-FREQUENT, CLASSES, SIZE = 512, 256, 32
-K = FREQUENT + CLASSES
-NOISE, BATCH, RATE = 32, 4096, 0.08
-#: Words in classes: the count they need, sqrt(tokens) / FLOOR, 2 at least; size and learning rate of their vectors.
-FLOOR, WORD_SIZE, WORD_RATE = 50, 16, 0.04
-#: Parameters are averaged in so many chunks for the softmax, and as many for the trees.
+FREQUENT, SIZE, NOISE, RATE = 512, 32, 32, 0.08
+#: Words in classes: the count they need is sqrt(tokens) / FLOOR, 2 at least; size, noise and learning rate of their vectors.
+FLOOR, WORD_SIZE, WORD_NOISE, WORD_RATE = 50, 16, 5, 0.04
+#: Classes at least. A word's kind has 16 bits, 8 from its last two bytes, then 8 from the third last; a class is a prefix.
+CLASSES = 256
+#: Tokens of a training step.
+BATCH = 4096
+#: Parameters are averaged in so many chunks for each softmax.
 CHUNKS = 64
 END = np.uint64(0xE4D0F7E47B1F00D5)
-#: Bytes of a text's words counted before distinct words are merged.
-_MERGE = 1 << 21
+#: Distinct words of a text block counted before they are merged; bytes of counts that meet in one task; contexts whose
+#: norms are kept; numbers in one matrix product of the second softmax.
+_MERGE, _TOGETHER, _NORMS, _PRODUCT = 1 << 20, 16 << 20, 1 << 20, 1 << 20
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and class of every token, an end after the words of each text; offsets of the texts."""
+    """Hash and kind of every token, an end after the words of each text; offsets of the texts."""
     w = words(column)
     h, n = w.hashes(), len(w.offsets) - 1
     out, kind = np.empty(len(h) + n, np.uint64), np.zeros(len(h) + n, np.uint16)
     at = np.arange(len(h)) + w.owners()
-    last = w.data[w.ends - 1].astype(np.uint64)
-    before = np.where(w.ends - w.starts > 1, w.data[np.maximum(w.ends - 2, 0)], 0).astype(np.uint64)
-    out[at], kind[at] = h, mix(last * np.uint64(256) + before) % np.uint64(CLASSES)
+    size = w.ends - w.starts
+    last, before, third = (np.where(size >= k, w.data[np.maximum(w.ends - k, 0)], 0).astype(np.uint64) for k in (1, 2, 3))
+    out[at], kind[at] = h, mix(last * np.uint64(256) + before) % np.uint64(256) * np.uint64(256) + mix(third + np.uint64(1)) % np.uint64(256)
     offsets = w.offsets + np.arange(n + 1)
     out[offsets[1:] - 1] = END
     return out, kind, offsets
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, summed counts, classes."""
+    """Distinct hashes, summed counts, kinds."""
     h, c, k = (np.concatenate(x) for x in zip(*parts, strict=True))
     u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     return u, np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64), k[first]
 
 
-_COUNTED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("classes", pa.binary())])
-_COUNTED_SQL = "part int, block int, hashes binary, counts binary, classes binary"
+_COUNTED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("kinds", pa.binary())])
+_COUNTED_SQL = "part int, block int, hashes binary, counts binary, kinds binary"
+
+
+def _row(part: int, block: int, h: np.ndarray, c: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "hashes": [h.tobytes()], "counts": [c.tobytes()], "kinds": [k.tobytes()]}, schema=_COUNTED)
+
+
+def _read(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["kinds"], np.uint16)
 
 
 def _count(pieces: int):
@@ -84,43 +98,42 @@ def _count(pieces: int):
         for b, parts in found.items():
             h, c, k = _merged(parts)
             part = (h >> np.uint64(32)) % np.uint64(pieces)
-            for p in np.unique(part).tolist():
-                m = part == p
-                yield pa.RecordBatch.from_pydict({"part": [int(p)], "block": [b], "hashes": [h[m].tobytes()], "counts": [c[m].tobytes()], "classes": [k[m].tobytes()]}, schema=_COUNTED)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(pieces + 1))
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                m = order[ends[p] : ends[p + 1]]
+                yield _row(p, b, h[m], c[m], k[m])
 
     return run
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """Of one part of the hashes: to each block its words with their totals; and a row with block -1: the most frequent
-    words, their counts and classes, then N, V and the classes' sums of c + 1; and one with block -2: all words that may have
-    vectors."""
-    blocks, rows = table.column("block").to_pylist(), []
-    for r in table.select(["hashes", "counts", "classes"]).to_pylist():
-        rows.append((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["classes"], np.uint16)))
+    """Of some parts of the hashes: to each block its words with their totals; a row with block -1: the most frequent words, and
+    the end if it is among these words; one with block -2: all words that may have vectors; and one with block -3: for each
+    kind the sum of c + 1 over its known words, after N and V."""
+    blocks = table.column("block").to_numpy()
+    rows = [_read(r) for r in table.select(["hashes", "counts", "kinds"]).to_pylist()]
     u, c, k = _merged(rows)
-    out: dict[str, list] = {n: [] for n in _COUNTED.names}
-
-    def put(*row) -> None:
-        for n, v in zip(_COUNTED.names, row, strict=True):
-            out[n].append(v)
-
-    part = table.column("part")[0].as_py()
-    for b in sorted(set(blocks)):
-        mine = np.unique(np.concatenate([r[0] for x, r in zip(blocks, rows, strict=True) if x == b]))
-        put(part, b, mine.tobytes(), c[np.searchsorted(u, mine)].tobytes(), b"")
+    out = []
+    order = np.argsort(blocks, kind="stable")
+    values, starts = np.unique(blocks[order], return_index=True)
+    for b, mine in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
+        h = np.concatenate([rows[i][0] for i in mine])  # parts are disjoint
+        out.append(_row(0, b, h, c[np.searchsorted(u, h)], k[:0]))
     known = c > 0
-    top = np.lexsort((u, -c))[:FREQUENT]
-    top = top[(c[top] > 0)]
-    sums = np.bincount(k[known], weights=(c[known] + 1).astype(float), minlength=CLASSES)
-    put(part, -1, u[top].tobytes(), c[top].tobytes(), np.concatenate(([float(c.sum()), float(known.sum())], sums, k[top].astype(float))).tobytes())
+    top = np.lexsort((u, -c, u != END))[:FREQUENT]  # the end comes first, how rare it may be
+    top = top[c[top] > 0]
+    out.append(_row(0, -1, u[top], c[top], k[top]))
     own = c >= floor(int(c.sum()))  # a part's floor is never above that of all
-    put(part, -2, u[own].tobytes(), c[own].tobytes(), k[own].tobytes())
-    return pa.table(out, schema=_COUNTED)
+    out.append(_row(0, -2, u[own], c[own], k[own]))
+    kinds, inverse = np.unique(k[known], return_inverse=True)
+    sums = np.bincount(inverse, weights=(c[known] + 1).astype(float), minlength=len(kinds)).astype(np.int64)
+    out.append(_row(0, -3, u[:0], np.concatenate(([c.sum(), known.sum()], sums)).astype(np.int64), kinds))
+    return pa.Table.from_batches(out)
 
 
 def floor(n: int) -> int:
-    """Count from which a word of a class has vectors, of n training tokens."""
+    """Count from which a word of a class has a vector, of n training tokens."""
     return max(2, int(n**0.5 / FLOOR))
 
 
@@ -130,312 +143,325 @@ def _above(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                h, c, k = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["classes"], np.uint16)
+                h, c, k = _read(r)
                 m = c >= least
-                yield pa.RecordBatch.from_pydict({"part": [r["part"]], "block": [-2], "hashes": [h[m].tobytes()], "counts": [c[m].tobytes()], "classes": [k[m].tobytes()]}, schema=_COUNTED)
+                yield _row(0, -2, h[m], c[m], k[m])
 
     return run
 
 
 class Vocabulary:
-    """Frequent words (sorted hashes), sums of the classes without them, noise distribution of the symbols."""
-
-    def __init__(self, rows: list):
-        tops, counts, kinds = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0)]
-        self.n, self.v, sums = 0, 0, np.zeros(CLASSES)
-        for r in rows:
-            x = np.frombuffer(r.classes, float)
-            self.n += int(x[0])
-            self.v += int(x[1])
-            sums = sums + x[2 : 2 + CLASSES]
-            tops.append(np.frombuffer(r.hashes, np.uint64))
-            counts.append(np.frombuffer(r.counts, np.int64))
-            kinds.append(x[2 + CLASSES :])
-        h, c, k = np.concatenate(tops), np.concatenate(counts), np.concatenate(kinds).astype(np.int64)
-        order = np.lexsort((h, -c, h != END))[:FREQUENT]  # the end always has a symbol
+    """N and V; symbols of the first softmax: the frequent words (sorted hashes), then `k - FREQUENT` classes, whose `sums` of
+    c + 1 are those of their known words that aren't frequent, and 1; noise distribution of the symbols; choices of
+    the second softmax, by class: first that of the rarer words, then words by hash."""
+
+    def __init__(self, tops: list, above: list, sums: list):
+        self.n = self.v = 0
+        by_kind = np.zeros(1 << 16)
+        for _, c, k in sums:
+            self.n, self.v = self.n + int(c[0]), self.v + int(c[1])
+            by_kind[k] += c[2:]
+        h, c, k = _merged(tops) if tops else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16))
+        order = np.lexsort((h, -c, h != END))[:FREQUENT]
         order = order[np.argsort(h[order])]
-        self.frequent, counts = h[order], c[order]
-        self.classes = sums - np.bincount(k[order], weights=(counts + 1).astype(float), minlength=CLASSES) + 1
-        weight = np.concatenate((counts + 1.0, np.zeros(FREQUENT - len(order)), self.classes))
+        self.frequent, counts, kinds = h[order], c[order], k[order]
+        h, c, k = _merged(above) if above else (h[:0], c[:0], k[:0])
+        free = ~np.isin(h, self.frequent)
+        h, c, k = h[free], c[free], k[free]
+        self.shift = 8
+        while self.shift and (1 << (16 - self.shift)) ** 2 < len(h):
+            self.shift -= 1
+        classes = 1 << (16 - self.shift)
+        self.k = FREQUENT + classes
+        np.subtract.at(by_kind, kinds, counts + 1.0)
+        self.sums = by_kind.reshape(classes, -1).sum(axis=1) + 1
+        weight = np.concatenate((counts + 1.0, np.zeros(FREQUENT - len(order)), self.sums))
         self.noise = weight / weight.sum()
+        self.edges = np.cumsum(self.noise)
+
+        kind = k.astype(np.int64) >> self.shift
+        order = np.lexsort((h, kind))
+        h, c, kind = h[order], c[order], kind[order]
+        self.first = np.append(np.searchsorted(kind, np.arange(classes)) + np.arange(classes), len(h) + classes)
+        place = np.arange(len(h)) + kind + 1
+        self.choices = len(h) + classes
+        self.rarer = self.sums - np.bincount(kind, weights=c + 1.0, minlength=classes)
+        weight = np.empty(self.choices)
+        weight[self.first[:-1]], weight[place] = self.rarer, c + 1.0
+        self.total = np.concatenate(([0.0], np.cumsum(weight)))
+        self.share = weight / np.repeat(self.sums, np.diff(self.first))
+        by_hash = np.argsort(h)
+        self.hashes, self.places = h[by_hash], place[by_hash]
 
-    def symbols(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        out = kind.astype(np.int64) + FREQUENT
+    def symbols(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol of each token; its choice, -1 for frequent words; its number as a context of the second softmax: the
+        symbol, or for words with vectors what follows after the symbols and the start of a text."""
+        out = (kind.astype(np.int64) >> self.shift) + FREQUENT
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
             hit = self.frequent[at] == h
             out[hit] = at[hit]
-        return out
-
-
-class Trees:
-    """Leaves of all classes, by class: first that of its words without vectors, then words by hash. A node is known by the
-    first leaf of its right half; a leaf's path is a range of nodes and sides."""
-
-    def __init__(self, vocabulary: Vocabulary, h: np.ndarray, c: np.ndarray, k: np.ndarray):
-        free = ~np.isin(h, vocabulary.frequent)
-        h, c, k = h[free], c[free], k[free].astype(np.int64)
-        order = np.lexsort((h, k))
-        h, c, k = h[order], c[order], k[order]
-        self.first = np.searchsorted(k, np.arange(CLASSES)) + np.arange(CLASSES)
-        self.size = len(h) + CLASSES
-        place = np.arange(len(h)) + k + 1
-        self.others = vocabulary.classes - np.bincount(k, weights=c + 1.0, minlength=CLASSES)
-        weight = np.empty(self.size)
-        weight[self.first], weight[place] = self.others, c + 1.0
-        by_hash = np.argsort(h)
-        self.hashes, self.places = h[by_hash], place[by_hash]
-        total = np.concatenate(([0.0], np.cumsum(weight)))
-        kind = np.empty(self.size, np.int64)
-        kind[self.first], kind[place] = np.arange(CLASSES), k
-        lo, hi = self.first[kind], np.append(self.first[1:], self.size)[kind]
-        leaf, leaves, nodes, rights = np.arange(self.size), [], [], []
-        self.odds = np.zeros(self.size, np.float32)
-        while True:
-            open_ = hi - lo > 1
-            leaf, lo, hi = leaf[open_], lo[open_], hi[open_]
-            if not len(leaf):
-                break
-            cut = np.clip(np.searchsorted(total, (total[lo] + total[hi]) / 2), lo + 1, hi - 1)
-            self.odds[cut] = np.log((total[hi] - total[cut]) / (total[cut] - total[lo]))
-            right = leaf >= cut
-            leaves.append(leaf)
-            nodes.append(cut.astype(np.int32))
-            rights.append(right)
-            lo, hi = np.where(right, cut, lo), np.where(right, hi, cut)
-        empty = np.empty(0, np.int32)
-        leaves = np.concatenate([empty, *leaves])
-        order = np.argsort(leaves, kind="stable")
-        self.nodes, self.rights = np.concatenate([empty, *nodes])[order], np.concatenate([empty, *rights])[order].astype(bool)
-        self.steps = np.bincount(leaves, minlength=self.size)
-        self.starts = np.cumsum(self.steps) - self.steps
-
-    def leaves(self, h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf of each token, -1 for frequent words; its symbol as a context, where words with vectors follow after K."""
-        out, context = np.full(len(h), -1), symbols.copy()
-        at = np.flatnonzero(symbols >= FREQUENT)
-        out[at] = self.first[symbols[at] - FREQUENT]
+        choice, context = np.full(len(h), -1), out.copy()
+        at = np.flatnonzero(out >= FREQUENT)
+        choice[at] = self.first[out[at] - FREQUENT]
         if len(self.hashes):
             found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
             hit = self.hashes[found] == h[at]
-            out[at[hit]] = self.places[found[hit]]
-            context[at[hit]] = K + 1 + out[at[hit]]
-        return out, context
-
-    def start(self, seed: int = 12) -> list[np.ndarray]:
-        rng = np.random.default_rng(seed)
-        near, far = (rng.normal(0, 0.1, (K + 1 + self.size, WORD_SIZE)).astype(np.float32) for _ in range(2))
-        return [near, far, np.zeros((self.size, WORD_SIZE), np.float32)]
-
-    def _path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of leaves that have one: token, node and side of each step, and the tokens' first steps."""
-        n = self.steps[leaf]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[leaf] - ends + n, n)
-        return np.repeat(np.arange(len(leaf)), n), self.nodes[at], self.rights[at], ends - n
-
-    def train(self, params: list[np.ndarray], past: list[np.ndarray], leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """One logistic step for each BATCH tokens that have a path. Adagrad."""
-        near, far, node = params
-        inside = np.flatnonzero((leaf >= 0) & (self.steps[leaf] > 0))
-        leaf, one, two = leaf[inside], one[inside], two[inside]
-        for at in range(0, len(leaf), BATCH):
-            a, b = one[at : at + BATCH], two[at : at + BATCH]
-            token, of, right, first = self._path(leaf[at : at + BATCH])
-            x, v = (near[a] + far[b])[token], node[of]
-            g = ((1 / (1 + np.exp(-(np.einsum("ij,ij->i", x, v) + self.odds[of]))) - right) / np.float32(len(a))).astype(np.float32)[:, None]
-            gx = np.add.reduceat(g * v, first, axis=0)
-            for k, (rows, grad) in enumerate((_scatter(a, gx), _scatter(b, gx), _scatter(of, g * x))):
-                past[k][rows] += grad * grad
-                params[k][rows] -= WORD_RATE * grad / np.sqrt(past[k][rows] + 1e-8)
-
-    def logprobs(self, params: list[np.ndarray], leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural log of P(leaf | class, contexts); 0 for frequent words."""
-        near, far, node = params
-        out = np.zeros(len(leaf))
-        inside = np.flatnonzero((leaf >= 0) & (self.steps[leaf] > 0))
-        for at in range(0, len(inside), 4 * BATCH):
-            part = inside[at : at + 4 * BATCH]
-            token, of, right, first = self._path(leaf[part])
-            z = np.einsum("ij,ij->i", (near[one[part]] + far[two[part]])[token], node[of]) + self.odds[of]
-            out[part] = -np.add.reduceat(np.logaddexp(0, np.where(right, -z, z)).astype(float), first)
-        return out
-
-
-def _contexts(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols one and two tokens before each; K before a text's start."""
-    one, two = np.full(len(symbols), K), np.full(len(symbols), K)
-    one[1:], two[2:] = symbols[:-1], symbols[:-2]
-    one[offsets[:-1]] = K
-    two[offsets[:-1]] = K
+            choice[at[hit]] = self.places[found[hit]]
+            context[at[hit]] = self.k + 1 + choice[at[hit]]
+        return out, choice, context
+
+
+def contexts(numbers: np.ndarray, offsets: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers one and two tokens before each; `start` before a text's first."""
+    one, two = np.full(len(numbers), start), np.full(len(numbers), start)
+    one[1:], two[2:] = numbers[:-1], numbers[:-2]
+    one[offsets[:-1]] = start
+    two[offsets[:-1]] = start
     second = offsets[:-1] + 1
-    two[second[second < offsets[1:]]] = K
+    two[second[second < offsets[1:]]] = start
     return one, two
 
 
-def start(noise: np.ndarray, seed: int = 11) -> list[np.ndarray]:
+def initial(v: Vocabulary, seed: int = 11) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Parameters of both softmaxes: context vectors of the two places, choices' vectors, biases (those of the unigrams)."""
     rng = np.random.default_rng(seed)
-    near, far, out = (rng.normal(0, 0.1, (n, SIZE)).astype(np.float32) for n in (K + 1, K + 1, K))
-    return [near, far, out, np.log(np.maximum(noise, 1e-12)).astype(np.float32)]
+    out = []
+    for seen, chosen, size, share in ((v.k + 1, v.k, SIZE, v.noise), (v.k + 1 + v.choices, v.choices, WORD_SIZE, v.share)):
+        near, far, vectors = (rng.normal(0, 0.1, (n, size)).astype(np.float32) for n in (seen, seen, chosen))
+        if chosen == v.choices and seen > v.k + 1:
+            vectors[:] = 0
+        out.append([near, far, vectors, np.log(np.maximum(share, 1e-12)).astype(np.float32)])
+    return out[0], out[1]
 
 
 def _scatter(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of equal index."""
     order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
     ordered = index[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     return ordered[first], np.add.reduceat(grad[order], first, axis=0)
 
 
-def train(params: list[np.ndarray], past: list[np.ndarray], w: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-    """One noise-contrastive step for each BATCH tokens; the noise words of a step are shared by its tokens. Adagrad."""
-    near, far, out, bias = params
-    edges = np.cumsum(noise)
-
-    def step(k: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        past[k][rows] += grad * grad
-        params[k][rows] -= RATE * grad / np.sqrt(past[k][rows] + 1e-8)
-
-    logn = np.log(NOISE * np.maximum(noise, 1e-12)).astype(np.float32)
-    for at in range(0, len(w), BATCH):
-        y, a, b = w[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH]
-        neg = np.minimum(np.searchsorted(edges, rng.random(NOISE) * edges[-1]), K - 1)
-        q = near[a] + far[b]
-        r, rn = out[y], out[neg]
-        gp = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, r) + bias[y] - logn[y]))) - 1
-        gn = 1 / (1 + np.exp(-(q @ rn.T + bias[neg] - logn[neg])))
-        scale = np.float32(1 / len(y))
-        gp, gn = (gp * scale).astype(np.float32), (gn * scale).astype(np.float32)
-        gq = gp[:, None] * r + gn @ rn
-        target = np.concatenate((y, neg))
-        gr = np.concatenate((gp[:, None] * q, gn.T @ q))
-        gb = np.concatenate((gp, gn.sum(axis=0)))
-        rows, grad = _scatter(target, np.concatenate((gr, gb[:, None]), axis=1))
-        step(2, rows, grad[:, :-1])
-        step(3, rows, grad[:, -1])
-        step(0, *_scatter(a, gq))
-        step(1, *_scatter(b, gq))
-
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
-_PARAMS = "chunk int, weight double, data binary"
 
-
-def _learn(vocabulary: Vocabulary, trees: Trees):
-    """Parameters trained on a partition's texts, in chunks, times its tokens."""
+def gradients(params: list[np.ndarray], y: np.ndarray, a: np.ndarray, b: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradients of the noise-contrastive loss, (rows, sums) of each parameter: the mean over tokens of
+    softplus(-d(y)) + sum over noise choices of softplus(d(n)), where d is a choice's score minus log_noise, the log of the
+    expected number of times it is drawn. noise: one list for all tokens, or one for each. log_noise: by choice."""
+    near, far, out, bias = params
+    q, r = near[a] + far[b], out[y]
+    scale = np.float32(1 / len(y))
+    gp = ((_sigmoid(np.einsum("ij,ij->i", q, r) + bias[y] - log_noise[y]) - 1) * scale).astype(np.float32)
+    rn = out[noise]
+    if noise.ndim == 1:
+        gn = (_sigmoid(q @ rn.T + (bias[noise] - log_noise[noise])) * scale).astype(np.float32)
+        gq = gp[:, None] * r + gn @ rn
+        of_noise, b_noise = gn.T @ q, gn.sum(axis=0)
+    else:
+        gn = (_sigmoid(np.einsum("ij,ikj->ik", q, rn) + (bias[noise] - log_noise[noise])) * scale).astype(np.float32)
+        gq = gp[:, None] * r + np.einsum("ik,ikj->ij", gn, rn)
+        of_noise, b_noise = (gn[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]), gn.ravel()
+    rows, grad = _scatter(np.concatenate((y, noise.ravel())), np.concatenate((np.column_stack((gp[:, None] * q, gp)), np.column_stack((of_noise, b_noise)))))
+    return [_scatter(a, gq), _scatter(b, gq), (rows, grad[:, :-1]), (rows, grad[:, -1])]
+
+
+def _descend(params: list[np.ndarray], past: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+    """A step of Adagrad."""
+    for p, s, (rows, grad) in zip(params, past, found, strict=True):
+        s[rows] += grad * grad
+        p[rows] -= rate * grad / np.sqrt(s[rows] + 1e-8)
+
+
+def train(v: Vocabulary, outer: list, inner: list, past: tuple[list, list], h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, rng: np.random.Generator) -> None:
+    """One pass over some texts, their tokens in random order, in steps of BATCH tokens for each softmax. Noise: in the first a
+    step's tokens share it; in the second each has its own, from its class."""
+    s, choice, context = v.symbols(h, kind)
+    order = rng.permutation(len(s))
+    one, two = contexts(s, offsets, v.k)
+    log_noise = np.log(NOISE * np.maximum(v.noise, 1e-12)).astype(np.float32)
+    for at in range(0, len(order), BATCH):
+        mine = order[at : at + BATCH]
+        noise = np.minimum(np.searchsorted(v.edges, rng.random(NOISE) * v.edges[-1]), v.k - 1)
+        _descend(outer, past[0], gradients(outer, s[mine], one[mine], two[mine], noise, log_noise), RATE)
+    one, two = contexts(context, offsets, v.k)
+    log_noise = np.log(WORD_NOISE * np.maximum(v.share, 1e-12)).astype(np.float32)
+    # noise is drawn in order of classes, where the places looked up lie close together
+    mine = np.flatnonzero(choice >= 0)
+    k = s[mine] - FREQUENT
+    mine = mine[(v.first[k + 1] - v.first[k] > 1)]
+    mine = mine[np.argsort(s[mine].astype(np.uint32), kind="stable")]
+    k = s[mine] - FREQUENT
+    low, high = v.first[k], v.first[k + 1]
+    drawn = v.total[low, None] + rng.random((len(mine), WORD_NOISE)) * (v.total[high] - v.total[low])[:, None]
+    drawn = np.clip(np.searchsorted(v.total, drawn.ravel(), "right").reshape(drawn.shape) - 1, low[:, None], high[:, None] - 1)
+    order = rng.permutation(len(mine))
+    for at in range(0, len(order), BATCH):
+        part = order[at : at + BATCH]
+        own = mine[part]
+        _descend(inner, past[1], gradients(inner, choice[own], one[own], two[own], drawn[part], log_noise), WORD_RATE)
+
+
+_PARAMS = pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())])
+_PARAMS_SQL = "chunk int, weight double, data binary"
+
+
+def _kind(chunk: int) -> type:
+    return np.float32 if chunk < CHUNKS else np.float16
+
+
+def _learn(v: Vocabulary):
+    """Parameters trained on a partition's texts, in chunks, and the partition's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, inner = start(vocabulary.noise), trees.start()
-        past, inner_past = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in inner]
+        outer, inner = initial(v)
+        past = [np.zeros_like(p) for p in outer], [np.zeros_like(p) for p in inner]
         rng, total = np.random.default_rng(5), 0
-        for batch in slices(batches, size=1 << 21):
+        for batch in slices(batches):
             h, kind, offsets = _tokens(batch.column(0))
-            s = vocabulary.symbols(h, kind)
-            one, two = _contexts(s, offsets)
-            order = rng.permutation(len(s))
-            train(params, past, s[order], one[order], two[order], vocabulary.noise, rng)
-            leaf, context = trees.leaves(h, s)
-            one, two = _contexts(context, offsets)
-            trees.train(inner, inner_past, leaf[order], one[order], two[order])
-            total += len(s)
+            train(v, outer, inner, past, h, kind, offsets, rng)
+            total += len(h)
         if total:
-            chunks = [x for group, kind in ((params, np.float32), (inner, np.float16)) for x in np.array_split(np.concatenate([p.ravel() for p in group]).astype(kind), CHUNKS)]
+            chunks = [x for group in (outer, inner) for x in np.array_split(np.concatenate([p.ravel() for p in group]), CHUNKS)]
             for k, x in enumerate(chunks):
-                yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [float(total)], "data": [x.tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [float(total)], "data": [x.astype(_kind(k)).tobytes()]}, schema=_PARAMS)
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk become one for each task that has read some of them; sums run in order of weight and bytes."""
+    """Rows of a chunk, all in one task, become one."""
     sums: dict[int, list] = {}
     for batch in batches:
         for k, w, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            x = np.frombuffer(data, np.float32 if k < CHUNKS else np.float16).astype(np.float64)
+            x = np.frombuffer(data, _kind(k)).astype(np.float64)
             old = sums.setdefault(k, [0.0, np.zeros(len(x))])
             old[0] += w
             old[1] += w * x
     for k, (w, x) in sums.items():
-        yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [w], "data": [(x / w).astype(np.float32 if k < CHUNKS else np.float16).tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [w], "data": [(x / w).astype(_kind(k)).tobytes()]}, schema=_PARAMS)
 
 
 class Norms:
-    """Logs of the softmax's sums, computed once for each context that occurs."""
+    """Logs of the first softmax's sums, kept for the contexts that have occurred, _NORMS of them at most."""
 
     def __init__(self, params: list[np.ndarray]):
         self.params = params
         self.codes, self.norms = np.empty(0, np.int64), np.empty(0, np.float32)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        """For sorted distinct codes."""
+        """For sorted distinct codes of two contexts."""
+        if len(self.codes) > _NORMS:
+            self.codes, self.norms = self.codes[:0], self.norms[:0]
         fresh = np.setdiff1d(codes, self.codes, assume_unique=True)
         if len(fresh):
             near, far, out, bias = self.params
             new = np.empty(len(fresh), np.float32)
-            for at in range(0, len(fresh), 4096):
-                part = fresh[at : at + 4096]
-                x = (near[part // (K + 1)] + far[part % (K + 1)]) @ out.T + bias
-                m = x.max(axis=1, keepdims=True)
-                new[at : at + 4096] = np.log(np.exp(x - m).sum(axis=1)) + m[:, 0]
+            for at in range(0, len(fresh), 1024):
+                part = fresh[at : at + 1024]
+                new[at : at + 1024] = _log_sums((near[part // len(near)] + far[part % len(near)]) @ out.T + bias)
             order = np.argsort(both := np.concatenate((self.codes, fresh)), kind="stable")
             self.codes, self.norms = both[order], np.concatenate((self.norms, new))[order]
         return self.norms[np.searchsorted(self.codes, codes)]
 
 
-def logprobs(norms: Norms, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Natural log of P(symbol w | contexts), normalised over all symbols."""
-    near, far, out, bias = norms.params
-    code, inverse = np.unique(one * (K + 1) + two, return_inverse=True)
-    q = near[code // (K + 1)] + far[code % (K + 1)]
-    return np.einsum("ij,ij->i", q[inverse], out[w]) + bias[w] - norms.of(code)[inverse]
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    m = x.max(axis=1, keepdims=True)
+    x -= m
+    return np.log(np.exp(x, out=x).sum(axis=1)) + m[:, 0]
 
 
-def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
-    ends = np.cumsum([p.size for p in like])
-    return [x.reshape(p.shape) for x, p in zip(np.split(flat, ends[:-1]), like, strict=True)]
+def outer_logs(norms: Norms, s: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Natural log of P(symbol | contexts), normalised over all symbols."""
+    near, far, out, bias = norms.params
+    code, inverse = np.unique(one * len(near) + two, return_inverse=True)
+    q = near[code // len(near)] + far[code % len(near)]
+    return np.einsum("ij,ij->i", q[inverse], out[s]) + bias[s] - norms.of(code)[inverse]
+
 
+def inner_logs(v: Vocabulary, params: list[np.ndarray], choice: np.ndarray, s: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Natural log of P(choice | class, contexts), normalised over the class's choices; 0 for frequent words."""
+    near, far, out, bias = params
+    found = np.zeros(len(s))
+    mine = np.flatnonzero(choice >= 0)
+    mine = mine[np.argsort(s[mine], kind="stable")]
+    kinds, starts = np.unique(s[mine], return_index=True)
+    for k, at, to in zip(kinds.tolist(), starts.tolist(), np.append(starts, len(mine))[1:].tolist(), strict=True):
+        low, high = v.first[k - FREQUENT], v.first[k - FREQUENT + 1]
+        if high - low == 1:
+            continue
+        step = max(1, _PRODUCT // (high - low))
+        for i in range(at, to, step):
+            part = mine[i : min(to, i + step)]
+            x = (near[one[part]] + far[two[part]]) @ out[low:high].T + bias[low:high]
+            own = x[np.arange(len(part)), choice[part] - low]
+            found[part] = own - _log_sums(x)
+    return found
+
+
+def token_logs(v: Vocabulary, norms: Norms, inner: list[np.ndarray], h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Natural log of P(token | the two before it). count: each token's count in the training texts."""
+    s, choice, context = v.symbols(h, kind)
+    p = outer_logs(norms, s, *contexts(s, offsets, v.k)).astype(float)
+    p += inner_logs(v, inner, choice, s, *contexts(context, offsets, v.k))
+    rare = (s >= FREQUENT) & (context == s)
+    p[rare] += np.log((count[rare] + 1) / v.rarer[s[rare] - FREQUENT])
+    return p
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _score(v: Vocabulary, outer: list[np.ndarray], inner: list[np.ndarray]):
+    """Of rows in order of (block, whether they are texts): a block's totals, then its texts."""
 
-_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-
-
-def _score(vocabulary: Vocabulary, params: list[np.ndarray], trees: Trees, inner: list[np.ndarray]):
-    def run(key, docs: pa.Table, counted: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, np.uint64) for x in counted.column("hashes").to_pylist()]
-        totals = [np.frombuffer(x, np.int64) for x in counted.column("counts").to_pylist()]
-        h, c = (np.concatenate(rows), np.concatenate(totals)) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        n, v = vocabulary.n, vocabulary.v
-        found, norms = [], Norms(params)
-        for batch in slices(docs.to_batches()):
-            t, kind, offsets = _tokens(batch.column(batch.schema.get_field_index("text")))
-            count = c[np.searchsorted(h, t)]
-            s = vocabulary.symbols(t, kind)
-            one, two = _contexts(s, offsets)
-            p = logprobs(norms, one, two, s).astype(float)
-            leaf, context = trees.leaves(t, s)
-            p += trees.logprobs(inner, leaf, *_contexts(context, offsets))
-            rare = (s >= FREQUENT) & (context == s)
-            p[rare] += np.log((count[rare] + 1) / trees.others[s[rare] - FREQUENT])
-            base = np.log10((count + 1) / (n + v + 1))
-            starts = offsets[:-1]
-            found.append(
-                pa.table(
-                    {
-                        "doc_id": batch.column(batch.schema.get_field_index("doc_id")),
-                        "held_out": batch.column(batch.schema.get_field_index("held_out")),
-                        "n_tokens": np.diff(offsets),
-                        "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
-                        "train_tokens": np.full(batch.num_rows, n),
-                        "base_score": np.add.reduceat(base, starts),
-                        "score": np.add.reduceat(p, starts) / np.log(10),
-                    }
-                )
-            )
-        empty = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return pa.concat_tables(found) if found else pa.schema(list(empty.items())).empty_table()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, h, c, norms = None, [], None, None, Norms(outer)
+        for batch in batches:
+            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if at == to:
+                    continue
+                if blocks[at] != block:
+                    block, parts, h, c = blocks[at], [], None, None
+                rows = batch.slice(at, to - at)
+                if not kinds[at]:
+                    parts += [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for a, b in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
+                    continue
+                if h is None:
+                    h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.argsort(h)
+                    h, c, parts = h[order], c[order], []
+                for part in slices([rows]):
+                    t, kind, offsets = _tokens(part.column(5))
+                    count = c[np.searchsorted(h, t)]
+                    p = token_logs(v, norms, inner, t, kind, offsets, count)
+                    base, starts = np.log10((count + 1) / (v.n + v.v + 1)), offsets[:-1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(4),
+                            part.column(6),
+                            pa.array(np.diff(offsets)),
+                            pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
+                            pa.array(np.full(part.num_rows, v.n)),
+                            pa.array(np.add.reduceat(base, starts)),
+                            pa.array(np.add.reduceat(p, starts) / np.log(10)),
+                        ],
+                        schema=_SCORED,
+                    )
 
     return run
 
 
+def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    ends = np.cumsum([p.size for p in like])
+    return [x.reshape(p.shape) for x, p in zip(np.split(flat, ends[:-1]), like, strict=True)]
+
+
 def score(docs: DataFrame, held_out=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text, ...).
 
@@ -451,17 +477,21 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"), block.alias("block"))
     # train is a column of its own: the scan below prunes the rest
     dealt = base.select("text", "block", (~F.col("held_out")).alias("train")).repartition(pieces, "block")
-    counted = dealt.mapInArrow(_count(max(1, pieces // 8)), _COUNTED_SQL)
-    totals = stored(counted.groupBy("part").applyInArrow(_total, _COUNTED_SQL), "totals")
-    vocabulary = Vocabulary(totals.where("block = -1").collect())
-    tops = totals.where("block = -2").mapInArrow(_above(floor(vocabulary.n)), _COUNTED_SQL).collect()
-    trees = Trees(vocabulary, *(np.concatenate([np.empty(0, t), *(np.frombuffer(r[n], t) for r in tops)]) for n, t in (("hashes", np.uint64), ("counts", np.int64), ("classes", np.uint16))))
-    learned = base.where("not held_out").select("text").mapInArrow(_learn(vocabulary, trees), _PARAMS)
-    spread = max(1, int(pieces**0.5))
-    rows = learned.repartition(spread, "chunk").mapInArrow(_average, _PARAMS).collect()  # a chunk is in one task: one set
-    params, inner = start(vocabulary.noise), trees.start()
+    counted = stored(dealt.mapInArrow(_count(pieces), _COUNTED_SQL), "counted")
+    size = counted.agg(F.coalesce(F.sum(F.octet_length("hashes") + F.octet_length("counts") + F.octet_length("kinds")), F.lit(0))).first()[0]
+    groups = max(1, min(pieces, -(-size // _TOGETHER)))
+    totals = stored(counted.groupBy((F.col("part") % groups).alias("group")).applyInArrow(_total, _COUNTED_SQL), "totals")
+    tops, sums = ([_read(r) for r in totals.where(f"block = {k}").collect()] for k in (-1, -3))
+    least = floor(sum(int(c[0]) for _, c, _ in sums))
+    above = [_read(r) for r in totals.where("block = -2").mapInArrow(_above(least), _COUNTED_SQL).collect()]
+    v = Vocabulary(tops, above, sums)
+    learned = base.where("not held_out").select("text").mapInArrow(_learn(v), _PARAMS_SQL)
+    rows = learned.repartition(max(1, int(pieces**0.5)), "chunk").mapInArrow(_average, _PARAMS_SQL).collect()  # one set
+    outer, inner = initial(v)
     if rows:
-        data = {r.chunk: np.frombuffer(r.data, np.float32 if r.chunk < CHUNKS else np.float16).astype(np.float32) for r in rows}
-        params, inner = (_shaped(np.concatenate([data[k] for k in range(at, at + CHUNKS)]), like) for at, like in ((0, params), (CHUNKS, inner)))
-    words_of = totals.where("block >= 0").select("block", "hashes", "counts")
-    return base.select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(words_of.groupBy("block")).applyInArrow(_score(vocabulary, params, trees, inner), _SCORED)
+        data = {r.chunk: np.frombuffer(r.data, _kind(r.chunk)).astype(np.float32) for r in rows}
+        outer, inner = (_shaped(np.concatenate([data[k] for k in range(at, at + CHUNKS)]), like) for at, like in ((0, outer), (CHUNKS, inner)))
+    sent = totals.where("block >= 0").select("block", F.lit(False).alias("is_text"), "hashes", "counts", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
+    own = base.select("block", F.lit(True).alias("is_text"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"), "doc_id", "text", "held_out")
+    met = sent.unionByName(own).repartition(pieces, "block").sortWithinPartitions("block", "is_text")
+    return met.mapInArrow(_score(v, outer, inner), _SCORED_SQL)

@@ -10,7 +10,6 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -263,7 +262,7 @@ def test_language_model(spark, rows):
             if w[-1] not in pairs:
                 w.append(rng.choice(list(pairs)))
         more.append((i, " ".join(w)))
-    all_rows = [r for r in rows if r[0] != 12] + more
+    all_rows = rows + more
     got = language_model.score(make(spark, all_rows)).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t in all_rows if not held(i) for w in [*cut(t), None])
@@ -275,34 +274,97 @@ def test_language_model(spark, rows):
     assert language_model.score(make(spark, [])).count() == 0
 
 
-def test_language_model_is_normalised():
+def lm_vocabulary():
+    """900 words, each commoner than the end, of which 600 lie in 7 kinds; and some counted once."""
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(1, 1 << 63, 1000).astype(np.uint64))[:900]
+    c, k = rng.integers(40, 400, 900), (rng.integers(0, 7, 900) * 256 + rng.integers(0, 256, 900)).astype(np.uint16)
+    h, c, k = np.append(h, language_model.END), np.append(c, 3), np.append(k, np.uint16(0))
+    kinds, inverse = np.unique(k, return_inverse=True)
+    sums = np.bincount(inverse, weights=c + 1.0).astype(np.int64)
+    return h, c, k, language_model.Vocabulary([(h, c, k)], [(h, c, k)], [(h[:0], np.concatenate(([c.sum(), len(h)], sums)), kinds)])
+
+
+def test_language_model_keeps_the_end():
+    import pyarrow as pa
+
+    h, c, k, v = lm_vocabulary()
+    assert language_model.END in v.frequent and len(v.frequent) == language_model.FREQUENT
+    t = pa.Table.from_batches([language_model._row(0, b, h, c, k) for b in (4, 9)])
+    rows = {r["block"]: language_model._read(r) for r in language_model._total(t).to_pylist()}
+    assert language_model.END in rows[-1][0] and (np.sort(rows[4][1]) == np.sort(2 * c)).all() and rows[-3][1][0] == 2 * c.sum()
+
+
+def test_language_model_gradients():
+    """The gradients of both softmaxes against finite differences of the loss."""
     rng = np.random.default_rng(0)
-    params = [*(rng.normal(0, 0.5, (language_model.K + 1, language_model.SIZE)).astype(np.float32) for _ in range(2)), rng.normal(0, 0.5, (language_model.K, language_model.SIZE)).astype(np.float32), rng.normal(0, 1, language_model.K).astype(np.float32)]
-    w = np.arange(language_model.K)
-    for a, b in ((0, 5), (language_model.K, language_model.K)):
-        assert abs(np.exp(language_model.logprobs(language_model.Norms(params), np.full(len(w), a), np.full(len(w), b), w).astype(float)).sum() - 1) < 1e-4
-
-
-def test_language_model_knows_words_in_classes():
-    """Words outside the softmax have vectors, without a cap: each context has its own probabilities, which add up to 1 in a class."""
-    c, kinds = np.arange(3, 603), np.arange(600) % 7
-    hashes = np.arange(1, 601).astype(np.uint64) << np.uint64(40)
-    v = SimpleNamespace(frequent=hashes[:0], classes=np.bincount(kinds, weights=c + 1.0, minlength=language_model.CLASSES) + 5)
-    trees = language_model.Trees(v, hashes, c, kinds)
-    normal = np.random.default_rng(1).normal
-    params = [normal(0, 0.7, p.shape).astype(np.float32) for p in trees.start()]
-    for kind in (0, 6, 9):
-        leaves = np.append(trees.places[kinds == kind], trees.first[kind])
-        assert abs(np.exp(trees.logprobs(params, leaves, np.full(len(leaves), 900), np.full(len(leaves), 3))).sum() - 1) < 1e-5
-    zero = [np.zeros_like(p) for p in params]
-    assert np.allclose(np.exp(trees.logprobs(zero, trees.places, trees.places, trees.places)), (c + 1) / v.classes[kinds], rtol=1e-4)
-
-    rng = np.random.default_rng(2)
-    before = rng.integers(0, 600, 200_000)
-    leaf, one = trees.places[(before * 7 + 3) % 600], language_model.K + 1 + trees.places[before]
-    two, params = np.full(len(leaf), language_model.K), trees.start()
-    trees.train(params, [np.zeros_like(p) for p in params], leaf, one, two)
-    assert trees.logprobs(params, leaf, one, two).mean() > trees.logprobs(trees.start(), leaf, one, two).mean() + 0.5
+    params = [rng.normal(0, 0.7, shape) for shape in ((9, 4), (9, 4), (6, 4), (6,))]
+    y, a, b = rng.integers(0, 6, 20), rng.integers(0, 9, 20), rng.integers(0, 9, 20)
+    log_noise = rng.normal(0, 1, 6)
+    soft = lambda x: np.logaddexp(0, x)
+    for noise in (rng.integers(0, 6, 5), rng.integers(0, 6, (20, 3))):
+
+        def loss(p, noise=noise):
+            q = p[0][a] + p[1][b]
+            d = lambda i: (q * p[2][i]).sum(axis=1) + p[3][i] - log_noise[i]
+            drawn = np.broadcast_to(noise, (20, noise.shape[-1]))
+            return np.mean(soft(-d(y)) + sum(soft(d(drawn[:, j])) for j in range(drawn.shape[1])))
+
+        found = language_model.gradients(params, y, a, b, noise, log_noise)
+        for i, (rows, grad) in enumerate(found):
+            full = np.zeros_like(params[i])
+            full[rows] = grad
+            for at in np.ndindex(params[i].shape):
+                ends = []
+                for step in (1e-5, -1e-5):
+                    p = [x.copy() for x in params]
+                    p[i][at] += step
+                    ends.append(loss(p))
+                assert abs((ends[0] - ends[1]) / 2e-5 - full[at]) < 1e-6
+
+
+def test_language_model_scores_by_definition():
+    """Each token's probability against plain softmaxes; those of all tokens in a context add up to 1; training helps."""
+    h, c, k, v = lm_vocabulary()
+    rng = np.random.default_rng(1)
+    outer, inner = ([rng.normal(0, 0.5, p.shape).astype(np.float32) for p in group] for group in language_model.initial(v))
+    h, c, k = np.append(h, np.arange(1, 5).astype(np.uint64)), np.append(c, [1, 1, 0, 0]), np.append(k, np.array([300, 5, 300, 6], np.uint16))
+    order = rng.integers(0, len(h), 300)
+    offsets = np.array([0, 120, 121, 300])
+    got = language_model.token_logs(v, language_model.Norms(outer), inner, h[order], k[order], offsets, c[order])
+    symbol, choice, context = v.symbols(h, k)
+
+    def chances(p, low, high, one, two):
+        x = (p[2][low:high].astype(float) @ (p[0][one] + p[1][two]).astype(float)) + p[3][low:high]
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def chance(token, before):
+        one, two = [x[0] for x in before], [x[1] for x in before]
+        p = chances(outer, 0, v.k, one[0], two[0])[symbol[token]]
+        if symbol[token] >= language_model.FREQUENT:
+            f = symbol[token] - language_model.FREQUENT
+            p *= chances(inner, v.first[f], v.first[f + 1], one[1], two[1])[choice[token] - v.first[f]]
+            if context[token] == symbol[token]:
+                p *= (c[token] + 1) / v.rarer[f]
+        return p
+
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        for i in range(a, b):
+            before = [tuple(x[order[i - n]] if i - n >= a else v.k for n in (1, 2)) for x in (symbol, context)]
+            assert abs(np.log(chance(order[i], before)) - got[i]) < 1e-3
+    for f in (0, 1, 6, 9):
+        assert abs(np.exp(language_model.inner_logs(v, inner, np.arange(v.first[f], v.first[f + 1]), *(np.full(v.first[f + 1] - v.first[f], x) for x in (f + language_model.FREQUENT, 900, 3)))).sum() - 1) < 1e-5
+
+    words_ = np.flatnonzero((context != symbol) & (symbol >= language_model.FREQUENT))[:100]
+    near = rng.integers(0, 100, 60_000)
+    near[1::2] = (near[::2] * 7 + 3) % 100
+    tokens = words_[near]
+    ends = np.array([0, len(tokens)])
+    start, params = language_model.initial(v), language_model.initial(v)
+    language_model.train(v, *params, tuple([np.zeros_like(p) for p in g] for g in params), h[tokens], k[tokens], ends, rng)
+    mean = lambda p: language_model.token_logs(v, language_model.Norms(p[0]), p[1], h[tokens], k[tokens], ends, c[tokens])[1::2].mean()
+    assert mean(params) > mean(start) + 0.5
     assert language_model.floor(100_000_000) == 200 and language_model.floor(0) == 2
 
 
