@@ -10,7 +10,8 @@ P(symbol | context), times, in a class, P(choice | class, context), times, for a
 
 In both softmaxes the context's vector is the sum of the vectors of the two tokens before, one table for each place, and its
 products with the choices' vectors, plus their biases, are trained by noise-contrastive estimation and normalised by
-batched matrix products: the first over the distinct contexts of a block, the second over the tokens of each class.
+batched matrix products: in the first those of each place's table with all choices, whose sums are normalised for the
+distinct contexts that occur; in the second those of a class's tokens with its choices.
 
 Each partition trains on all its training texts from the same start, and the parameters are averaged by tokens. Counts
 meet by hash in arrays: documents are dealt into blocks, a block sends its distinct words once, and gets the totals
@@ -29,32 +30,35 @@ from pyspark.sql import functions as F
 from ._arrays import mix, slices, words
 from ._shared import partitions, stored
 
-FREQUENT, SIZE, NOISE, RATE = 512, 32, 32, 0.08
+FREQUENT, SIZE, NOISE, RATE = 256, 16, 64, 0.05
 #: Words in classes: the count they need is sqrt(tokens) / FLOOR, 2 at least; size, noise and learning rate of their vectors.
-FLOOR, WORD_SIZE, WORD_NOISE, WORD_RATE = 50, 16, 5, 0.04
+FLOOR, WORD_SIZE, WORD_NOISE, WORD_RATE = 50, 8, 2, 0.06
 #: Classes at least. A word's kind has 16 bits, 8 from its last two bytes, then 8 from the third last; a class is a prefix.
 CLASSES = 256
-#: Tokens of a training step.
-BATCH = 4096
+#: Tokens of a training step at most; steps in which short slices of texts are trained; noise words drawn for each class and
+#: slice.
+BATCH, STEPS, POOL = 8192, 16, 256
 #: Parameters are averaged in so many chunks for each softmax.
 CHUNKS = 64
 END = np.uint64(0xE4D0F7E47B1F00D5)
-#: Distinct words of a text block counted before they are merged; bytes of counts that meet in one task; contexts whose
-#: norms are kept; numbers in one matrix product of the second softmax.
-_MERGE, _TOGETHER, _NORMS, _PRODUCT = 1 << 20, 16 << 20, 1 << 20, 1 << 20
+#: Distinct words of a text block counted before they are merged; bytes of counts that meet in one task; numbers in one
+#: product or sum of the softmaxes; bytes of text scored at once.
+_MERGE, _TOGETHER, _PRODUCT, _SCORED_BYTES = 1 << 20, 16 << 20, 1 << 18, 2 << 20
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and kind of every token, an end after the words of each text; offsets of the texts."""
+def _tokens(column: pa.Array, kinds: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and, if asked for, kind of every token, an end after the words of each text; offsets of the texts."""
     w = words(column)
     h, n = w.hashes(), len(w.offsets) - 1
     out, kind = np.empty(len(h) + n, np.uint64), np.zeros(len(h) + n, np.uint16)
     at = np.arange(len(h)) + w.owners()
+    offsets = w.offsets + np.arange(n + 1)
+    out[at], out[offsets[1:] - 1] = h, END
+    if not kinds:
+        return out, kind, offsets
     size = w.ends - w.starts
     last, before, third = (np.where(size >= k, w.data[np.maximum(w.ends - k, 0)], 0).astype(np.uint64) for k in (1, 2, 3))
-    out[at], kind[at] = h, mix(last * np.uint64(256) + before) % np.uint64(256) * np.uint64(256) + mix(third + np.uint64(1)) % np.uint64(256)
-    offsets = w.offsets + np.arange(n + 1)
-    out[offsets[1:] - 1] = END
+    kind[at] = mix(last * np.uint64(256) + before) % np.uint64(256) * np.uint64(256) + mix(third + np.uint64(1)) % np.uint64(256)
     return out, kind, offsets
 
 
@@ -119,7 +123,8 @@ def _total(table: pa.Table) -> pa.Table:
     values, starts = np.unique(blocks[order], return_index=True)
     for b, mine in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
         h = np.concatenate([rows[i][0] for i in mine])  # parts are disjoint
-        out.append(_row(0, b, h, c[np.searchsorted(u, h)], k[:0]))
+        at = np.searchsorted(u, h)
+        out.append(_row(0, b, h, c[at], k[at]))
     known = c > 0
     top = np.lexsort((u, -c, u != END))[:FREQUENT]  # the end comes first, how rare it may be
     top = top[c[top] > 0]
@@ -252,19 +257,23 @@ def gradients(params: list[np.ndarray], y: np.ndarray, a: np.ndarray, b: np.ndar
     softplus(-d(y)) + sum over noise choices of softplus(d(n)), where d is a choice's score minus log_noise, the log of the
     expected number of times it is drawn. noise: one list for all tokens, or one for each. log_noise: by choice."""
     near, far, out, bias = params
+    bias = bias - log_noise
     q, r = near[a] + far[b], out[y]
     scale = np.float32(1 / len(y))
-    gp = ((_sigmoid(np.einsum("ij,ij->i", q, r) + bias[y] - log_noise[y]) - 1) * scale).astype(np.float32)
+    gp = ((_sigmoid(np.einsum("ij,ij->i", q, r) + bias[y]) - 1) * scale).astype(np.float32)
     rn = out[noise]
     if noise.ndim == 1:
-        gn = (_sigmoid(q @ rn.T + (bias[noise] - log_noise[noise])) * scale).astype(np.float32)
+        gn = (_sigmoid(q @ rn.T + bias[noise]) * scale).astype(np.float32)
         gq = gp[:, None] * r + gn @ rn
         of_noise, b_noise = gn.T @ q, gn.sum(axis=0)
     else:
-        gn = (_sigmoid(np.einsum("ij,ikj->ik", q, rn) + (bias[noise] - log_noise[noise])) * scale).astype(np.float32)
+        gn = (_sigmoid(np.einsum("ij,ikj->ik", q, rn) + bias[noise]) * scale).astype(np.float32)
         gq = gp[:, None] * r + np.einsum("ik,ikj->ij", gn, rn)
         of_noise, b_noise = (gn[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]), gn.ravel()
-    rows, grad = _scatter(np.concatenate((y, noise.ravel())), np.concatenate((np.column_stack((gp[:, None] * q, gp)), np.column_stack((of_noise, b_noise)))))
+    both = np.empty((len(y) + noise.size, q.shape[1] + 1), q.dtype)
+    np.multiply(gp[:, None], q, out=both[: len(y), :-1])
+    both[: len(y), -1], both[len(y) :, :-1], both[len(y) :, -1] = gp, of_noise, b_noise
+    rows, grad = _scatter(np.concatenate((y, noise.ravel())), both)
     return [_scatter(a, gq), _scatter(b, gq), (rows, grad[:, :-1]), (rows, grad[:, -1])]
 
 
@@ -276,32 +285,29 @@ def _descend(params: list[np.ndarray], past: list[np.ndarray], found: list[tuple
 
 
 def train(v: Vocabulary, outer: list, inner: list, past: tuple[list, list], h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, rng: np.random.Generator) -> None:
-    """One pass over some texts, their tokens in random order, in steps of BATCH tokens for each softmax. Noise: in the first a
+    """One pass over some texts, their tokens in random order, in steps for each softmax. Noise: in the first a
     step's tokens share it; in the second each has its own, from its class."""
     s, choice, context = v.symbols(h, kind)
     order = rng.permutation(len(s))
     one, two = contexts(s, offsets, v.k)
     log_noise = np.log(NOISE * np.maximum(v.noise, 1e-12)).astype(np.float32)
-    for at in range(0, len(order), BATCH):
-        mine = order[at : at + BATCH]
+    size = min(BATCH, max(64, len(order) // STEPS))
+    for at in range(0, len(order), size):
+        mine = order[at : at + size]
         noise = np.minimum(np.searchsorted(v.edges, rng.random(NOISE) * v.edges[-1]), v.k - 1)
         _descend(outer, past[0], gradients(outer, s[mine], one[mine], two[mine], noise, log_noise), RATE)
     one, two = contexts(context, offsets, v.k)
     log_noise = np.log(WORD_NOISE * np.maximum(v.share, 1e-12)).astype(np.float32)
-    # noise is drawn in order of classes, where the places looked up lie close together
-    mine = np.flatnonzero(choice >= 0)
-    k = s[mine] - FREQUENT
-    mine = mine[(v.first[k + 1] - v.first[k] > 1)]
-    mine = mine[np.argsort(s[mine].astype(np.uint32), kind="stable")]
-    k = s[mine] - FREQUENT
-    low, high = v.first[k], v.first[k + 1]
-    drawn = v.total[low, None] + rng.random((len(mine), WORD_NOISE)) * (v.total[high] - v.total[low])[:, None]
-    drawn = np.clip(np.searchsorted(v.total, drawn.ravel(), "right").reshape(drawn.shape) - 1, low[:, None], high[:, None] - 1)
-    order = rng.permutation(len(mine))
-    for at in range(0, len(order), BATCH):
-        part = order[at : at + BATCH]
-        own = mine[part]
-        _descend(inner, past[1], gradients(inner, choice[own], one[own], two[own], drawn[part], log_noise), WORD_RATE)
+    # a pool of noise for each class, from which its tokens draw
+    low, high = v.first[:-1], v.first[1:]
+    spread = v.total[low, None] + rng.random((len(low), POOL)) * (v.total[high] - v.total[low])[:, None]
+    pool = np.clip(np.searchsorted(v.total, spread.ravel(), "right").reshape(spread.shape) - 1, low[:, None], high[:, None] - 1)
+    order = order[choice[order] >= 0]
+    order = order[(high - low > 1)[s[order] - FREQUENT]]
+    for at in range(0, len(order), size):
+        mine = order[at : at + size]
+        noise = pool[(s[mine] - FREQUENT)[:, None], rng.integers(0, POOL, (len(mine), WORD_NOISE), dtype=np.uint16)]
+        _descend(inner, past[1], gradients(inner, choice[mine], one[mine], two[mine], noise, log_noise), WORD_RATE)
 
 
 _PARAMS = pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())])
@@ -344,41 +350,33 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"chunk": [k], "weight": [w], "data": [(x / w).astype(_kind(k)).tobytes()]}, schema=_PARAMS)
 
 
-class Norms:
-    """Logs of the first softmax's sums, kept for the contexts that have occurred, _NORMS of them at most."""
-
-    def __init__(self, params: list[np.ndarray]):
-        self.params = params
-        self.codes, self.norms = np.empty(0, np.int64), np.empty(0, np.float32)
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        """For sorted distinct codes of two contexts."""
-        if len(self.codes) > _NORMS:
-            self.codes, self.norms = self.codes[:0], self.norms[:0]
-        fresh = np.setdiff1d(codes, self.codes, assume_unique=True)
-        if len(fresh):
-            near, far, out, bias = self.params
-            new = np.empty(len(fresh), np.float32)
-            for at in range(0, len(fresh), 1024):
-                part = fresh[at : at + 1024]
-                new[at : at + 1024] = _log_sums((near[part // len(near)] + far[part % len(near)]) @ out.T + bias)
-            order = np.argsort(both := np.concatenate((self.codes, fresh)), kind="stable")
-            self.codes, self.norms = both[order], np.concatenate((self.norms, new))[order]
-        return self.norms[np.searchsorted(self.codes, codes)]
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    """Logs of the sums of exp(x), row by row; x is overwritten. Only where a sum overflows is the greatest taken out first."""
+    total = np.exp(x).sum(axis=1)
+    if not np.isfinite(total).all() or not total.all():
+        m = x.max(axis=1, keepdims=True)
+        return np.log(np.exp(x - m).sum(axis=1)) + m[:, 0]
+    return np.log(total)
 
 
-def _log_sums(x: np.ndarray) -> np.ndarray:
-    m = x.max(axis=1, keepdims=True)
-    x -= m
-    return np.log(np.exp(x, out=x).sum(axis=1)) + m[:, 0]
+class Outer:
+    """The first softmax: products of the two places' tables with all choices, and the logs of the sums of the contexts that
+    have occurred."""
 
+    def __init__(self, params: list[np.ndarray]):
+        near, far, out, bias = params
+        self.near, self.far = near @ out.T + bias, far @ out.T
+        self.norms = np.full((len(near), len(far)), np.nan, np.float32)
 
-def outer_logs(norms: Norms, s: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Natural log of P(symbol | contexts), normalised over all symbols."""
-    near, far, out, bias = norms.params
-    code, inverse = np.unique(one * len(near) + two, return_inverse=True)
-    q = near[code // len(near)] + far[code % len(near)]
-    return np.einsum("ij,ij->i", q[inverse], out[s]) + bias[s] - norms.of(code)[inverse]
+    def logs(self, s: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log of P(symbol | contexts), normalised over all symbols."""
+        new = np.isnan(self.norms[one, two])
+        code = np.unique(one[new] * len(self.far) + two[new])
+        step = max(1, _PRODUCT // self.near.shape[1])
+        for at in range(0, len(code), step):
+            a, b = np.divmod(code[at : at + step], len(self.far))
+            self.norms[a, b] = _log_sums(self.near[a] + self.far[b])
+        return self.near[one, s] + self.far[two, s] - self.norms[one, two]
 
 
 def inner_logs(v: Vocabulary, params: list[np.ndarray], choice: np.ndarray, s: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -401,16 +399,26 @@ def inner_logs(v: Vocabulary, params: list[np.ndarray], choice: np.ndarray, s: n
     return found
 
 
-def token_logs(v: Vocabulary, norms: Norms, inner: list[np.ndarray], h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Natural log of P(token | the two before it). count: each token's count in the training texts."""
-    s, choice, context = v.symbols(h, kind)
-    p = outer_logs(norms, s, *contexts(s, offsets, v.k)).astype(float)
+def token_logs(v: Vocabulary, outer: Outer, inner: list[np.ndarray], s: np.ndarray, choice: np.ndarray, context: np.ndarray, count: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Natural log of P(token | the two before it), of what symbols() says of the tokens. count: each token's count in the
+    training texts."""
+    p = outer.logs(s, *contexts(s, offsets, v.k)).astype(float)
     p += inner_logs(v, inner, choice, s, *contexts(context, offsets, v.k))
     rare = (s >= FREQUENT) & (context == s)
     p[rare] += np.log((count[rare] + 1) / v.rarer[s[rare] - FREQUENT])
     return p
 
 
+def _places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each of h, with many repeats, stands in the sorted table."""
+    order = np.argsort(h)
+    ordered = h[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out = np.empty(len(h), np.int64)
+    out[order] = np.repeat(np.searchsorted(table, ordered[first]), np.diff(np.append(first, len(h))))
+    return out
+
+
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORED_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -419,7 +427,7 @@ def _score(v: Vocabulary, outer: list[np.ndarray], inner: list[np.ndarray]):
     """Of rows in order of (block, whether they are texts): a block's totals, then its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, h, c, norms = None, [], None, None, Norms(outer)
+        block, parts, h, known, first = None, [], None, (), Outer(outer)
         for batch in batches:
             blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
@@ -427,24 +435,26 @@ def _score(v: Vocabulary, outer: list[np.ndarray], inner: list[np.ndarray]):
                 if at == to:
                     continue
                 if blocks[at] != block:
-                    block, parts, h, c = blocks[at], [], None, None
+                    block, parts, h = blocks[at], [], None
                 rows = batch.slice(at, to - at)
                 if not kinds[at]:
-                    parts += [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for a, b in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
+                    parts += [_read(r) for r in rows.select(["hashes", "counts", "kinds"]).to_pylist()]
                     continue
-                if h is None:
-                    h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if h is None:  # of each distinct word what a token needs is looked up once
+                    h, c, k = (np.concatenate(x) for x in zip(*parts, strict=True))
                     order = np.argsort(h)
-                    h, c, parts = h[order], c[order], []
-                for part in slices([rows]):
-                    t, kind, offsets = _tokens(part.column(5))
-                    count = c[np.searchsorted(h, t)]
-                    p = token_logs(v, norms, inner, t, kind, offsets, count)
+                    h, parts = h[order], []
+                    known = (*v.symbols(h, k[order]), c[order])
+                for part in slices([rows], size=_SCORED_BYTES):
+                    t, _, offsets = _tokens(part.column(6), kinds=False)
+                    at_t = _places(h, t)
+                    s, choice, context, count = (x[at_t] for x in known)
+                    p = token_logs(v, first, inner, s, choice, context, count, offsets)
                     base, starts = np.log10((count + 1) / (v.n + v.v + 1)), offsets[:-1]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column(4),
-                            part.column(6),
+                            part.column(5),
+                            part.column(7),
                             pa.array(np.diff(offsets)),
                             pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
                             pa.array(np.full(part.num_rows, v.n)),
@@ -491,7 +501,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     if rows:
         data = {r.chunk: np.frombuffer(r.data, _kind(r.chunk)).astype(np.float32) for r in rows}
         outer, inner = (_shaped(np.concatenate([data[k] for k in range(at, at + CHUNKS)]), like) for at, like in ((0, outer), (CHUNKS, inner)))
-    sent = totals.where("block >= 0").select("block", F.lit(False).alias("is_text"), "hashes", "counts", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
-    own = base.select("block", F.lit(True).alias("is_text"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"), "doc_id", "text", "held_out")
+    sent = totals.where("block >= 0").select("block", F.lit(False).alias("is_text"), "hashes", "counts", "kinds", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
+    own = base.select("block", F.lit(True).alias("is_text"), *(F.lit(None).cast("binary").alias(c) for c in ("hashes", "counts", "kinds")), "doc_id", "text", "held_out")
     met = sent.unionByName(own).repartition(pieces, "block").sortWithinPartitions("block", "is_text")
     return met.mapInArrow(_score(v, outer, inner), _SCORED_SQL)
