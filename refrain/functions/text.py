@@ -29,8 +29,8 @@ TREEBANK = [
     (r"\b(lem)(me)\b", " $1 $2 "),
     (r"\b(more)('n)\b", " $1 $2 "),
     (r"\b(wan)(na)(?=\s)", " $1 $2 "),
-    (r"\b('t)(is)\b", " $1 $2 "),
-    (r"\b('t)(was)\b", " $1 $2 "),
+    (r" ('t)(is)\b", " $1 $2 "),
+    (r" ('t)(was)\b", " $1 $2 "),
 ]
 
 
@@ -42,7 +42,7 @@ def _replace(c: Column, pattern: str, to: str, needle: str) -> Column:
 
 def _needle(pattern: str) -> str:
     """The letters of a contraction's two groups; an apostrophe for the other rules."""
-    groups = re.match(r"\\b\(([a-z']+)\)\(([a-z']+)\)", pattern)
+    groups = re.match(r"(?:\\b| )\(([a-z']+)\)\(([a-z']+)\)", pattern)
     return groups[1] + groups[2] if groups else "'"
 
 

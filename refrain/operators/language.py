@@ -1,5 +1,6 @@
 """Detected language as a filter. The model is the caller's: anything with detect(texts) -> labels."""
 
+import sys
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -30,23 +31,43 @@ class CommonWords:
         return out
 
 
+_loaded: dict[Callable, Detector] = {}
+
+
+def _detector(load: Callable[[], Detector]) -> Detector:
+    """Made once in each Python worker, if `load` has an importable name; else once in each pass. A model's file reaches
+    the executors with SparkContext.addFile, and load() finds it with SparkFiles.get."""
+    if getattr(sys.modules.get(load.__module__), getattr(load, "__qualname__", ""), None) is not load:
+        return load()
+    if load not in _loaded:
+        _loaded[load] = load()
+    return _loaded[load]
+
+
 def is_language(load: Callable[[], Detector] = CommonWords, language: str = "en") -> Callable[[Column], Column]:
-    """A Column function: whether the detector's label is `language`. `load` runs once in each Python worker's pass. Null and
-    texts on which the detector fails are False. Line ends reach the detector as spaces."""
+    """A Column function: whether the detector's label is `language`. The detector gets the texts of a batch at once, and one by
+    one if it fails on them. Null and texts on which it fails are False. Line ends reach it as spaces."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        detector = load()
+        detector = _detector(load)
 
-        def label(text: str | None) -> bool:
-            if text is None:
-                return False
+        def single(text: str) -> str | None:
             try:
-                return detector.detect([text.replace("\n", " ")])[0] == language
+                return detector.detect([text])[0]
             except Exception:  # a text that the model can't take is not of the language
-                return False
+                return None
 
         for batch in batches:
-            yield batch.map(label).astype(bool)
+            out = pd.Series(False, index=batch.index)
+            texts = batch.dropna().str.replace("\n", " ")
+            try:
+                labels = detector.detect(texts.tolist()) if len(texts) else []
+                if len(labels) != len(texts):
+                    raise ValueError("not a label for each text")
+            except Exception:  # some text stops the batch
+                labels = [single(t) for t in texts]
+            out[texts.index] = [x == language for x in labels]
+            yield out
 
     return F.pandas_udf(run, "boolean")
 

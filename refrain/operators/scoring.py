@@ -6,13 +6,6 @@ from pyspark.sql import functions as F
 from ..functions.resources import GROUPS, WEIGHTS
 from ..functions.text import join_words, strip
 
-#: Words up to which a lexicon is sent to every executor; a larger one is joined by a shuffle.
-BROADCAST_WORDS = 500_000
-
-
-def _small(words: DataFrame) -> bool:
-    return words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-
 
 def song_stats(songs: DataFrame, words: DataFrame, groups: list[str] = GROUPS, tokens: str = "lyrics_tokens", keys: tuple[str, ...] = ("row_id", "title", "artist"), digits: int | None = 2) -> DataFrame:
     """keys, total_tokens, emotion_word_count, emotion_word_ratio, emotion_words and, for each group, count_ and ratio_.
@@ -20,12 +13,13 @@ def song_stats(songs: DataFrame, words: DataFrame, groups: list[str] = GROUPS, t
     words has (word, groups). A token counts for each of its groups, and once as an emotion word; ratios are per cent of all
     tokens, rounded half to even to `digits` (None: not rounded). Tokens are matched without outer spaces.
 
-    Only matched tokens leave the scan's stage: rows of a song lie in one task, so the partial aggregate makes one row
-    of each song before anything is shuffled.
+    A lexicon of fewer bytes than spark.sql.autoBroadcastJoinThreshold, by Spark's own statistics, goes to every executor. Then
+    only matched tokens leave the scan's stage: rows of a song lie in one task, so the partial aggregate makes one row of
+    each song before anything is shuffled. A larger lexicon is joined by a shuffle.
     """
     rows = songs.select(*keys, F.coalesce(F.size(tokens), F.lit(0)).cast("long").alias("total_tokens"), F.posexplode_outer(tokens).alias("pos", "token"))
     lexicon = words.select(F.col("word").alias("__word"), "groups")
-    met = rows.join(F.broadcast(lexicon) if _small(words) else lexicon, strip(F.col("token")) == F.col("__word"), "left")
+    met = rows.join(lexicon, strip(F.col("token")) == F.col("__word"), "left")
     matched = F.col("groups").isNotNull()
     per = met.groupBy(*keys, "total_tokens").agg(
         F.count_if(matched).alias("emotion_word_count"),

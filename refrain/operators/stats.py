@@ -1,11 +1,10 @@
 """Aggregates over scored songs; each function returns the rows that a chart of it would draw."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.resources import GROUPS
 from ..functions.text import split_words
-from .scoring import _small
 from .songs import without_outliers
 
 
@@ -79,7 +78,8 @@ def density(df: DataFrame, column: str = "emotion_score", points: int = 200, bin
 
 
 def regression(df: DataFrame, group: str, column: str = "emotion_score", exclude_outliers: bool = False) -> DataFrame:
-    """One row: the line of ratio_group over the score, (slope, intercept, r, r2, stderr, n); null where it has none."""
+    """One row: the line of ratio_group over the score, (slope, intercept, r, r2, stderr, p_value, n); null where it has none.
+    p_value is that of a slope of zero, by Student's t with n - 2 degrees of freedom on both sides."""
     if exclude_outliers:
         df = without_outliers(df, column)
     x, y = F.col(column).cast("double"), F.col(f"ratio_{group}").cast("double")
@@ -87,14 +87,48 @@ def regression(df: DataFrame, group: str, column: str = "emotion_score", exclude
     row = pairs.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), _pearson("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.count("*").alias("n"))
     r2 = F.col("r") * F.col("r")
     error = F.when(F.col("n") > 2, F.sqrt(F.try_divide(F.greatest(1 - r2, F.lit(0.0)) * F.col("vy"), F.col("vx") * (F.col("n") - 2))))
-    return row.select("slope", "intercept", "r", r2.alias("r2"), error.alias("stderr"), "n")
+    # the chance that |t| is at least as large is I_x(a, 1/2), of x = 1 - r^2 and a = (n - 2) / 2
+    p = F.when((F.col("n") > 2) & F.col("r").isNotNull(), _beta_half(F.greatest(1 - r2, F.lit(0.0)), (F.col("n") - 2) / 2))
+    return row.select("slope", "intercept", "r", r2.alias("r2"), error.alias("stderr"), p.alias("p_value"), "n")
+
+
+def _beta_half(x: Column, a: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, 1/2). With s = sqrt(1 - x) = sin(phi), 2a degrees of freedom n and t the
+    quotient that has s^2 = t^2 / (n + t^2), it is 1 less Student's probability within t, for which finite series in
+    cos(phi)^2 = x exist (Abramowitz and Stegun, 26.7.3 and 26.7.4). Above 1000 degrees of freedom, where they are long, the
+    normal deviate of t is used (Wallace), whose error is below 1e-6 there."""
+    s, n = F.sqrt(F.greatest(1 - x, F.lit(0.0))), (2 * a).cast("long")
+    terms = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.least(F.floor((n - 1) / 2), F.lit(500).cast("long"))))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def series(factor) -> Column:
+        """1 + sum of the terms, each the one before times x times factor(k)."""
+        step = lambda acc, k: F.struct((acc["term"] * x * factor(k)).alias("term"), (acc["total"] + acc["term"] * x * factor(k)).alias("total"))
+        return F.aggregate(terms, start, step)["total"]
+
+    # even n: s * (1 + 1/2 x + 1*3/(2*4) x^2 + ...), to x^((n-2)/2); odd n: 2/pi * (phi + s * cos * (1 + 2/3 x + ...)), to x^((n-3)/2)
+    even = s * F.when(n > 2, series(lambda k: F.when(k <= (n - 2) / 2, (2.0 * k - 1) / (2.0 * k)).otherwise(F.lit(0.0)))).otherwise(F.lit(1.0))
+    odd_sum = F.when(n > 3, series(lambda k: F.when(k <= (n - 3) / 2, (2.0 * k) / (2.0 * k + 1)).otherwise(F.lit(0.0)))).otherwise(F.lit(1.0))
+    odd = 2 / F.pi() * (F.asin(F.least(s, F.lit(1.0))) + F.when(n > 1, s * F.sqrt(x) * odd_sum).otherwise(F.lit(0.0)))
+    z = (8.0 * n + 1) / (8.0 * n + 3) * F.sqrt(-n * F.log(F.greatest(x, F.lit(1e-300))))
+    few = F.greatest(1 - F.when(n % 2 == 0, even).otherwise(odd), F.lit(0.0))
+    return F.when(n > 1000, _normal_tails(z)).otherwise(few)
+
+
+def _normal_tails(z: Column) -> Column:
+    """The chance of a normal deviate beyond z on either side, by the continued fraction's approximation of erfc (Numerical
+    coefficients: Abramowitz and Stegun, 7.1.26; error below 1.5e-7)."""
+    y = z / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * y)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-y * y)
 
 
 def regression_line(df: DataFrame, group: str, column: str = "emotion_score", points: int = 100) -> DataFrame:
-    """(x, y, low, high): points of the line, and twice its standard error around it."""
+    """(x, y, low, high): points of the line, and twice its standard error around it; no values give no points."""
     line = regression(df, group, column)
     x = F.col(column).cast("double")
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.var_pop(x).alias("vx"))
+    ends = F.broadcast(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.var_pop(x).alias("vx")))  # one row
     grid = line.crossJoin(ends).select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     y = F.col("intercept") + F.col("slope") * F.col("x")
     band = 2 * F.col("stderr") * F.sqrt(F.col("vx") + F.pow(F.col("x") - F.col("mean"), F.lit(2)))
@@ -108,7 +142,7 @@ def word_frequencies(df: DataFrame, top: int | None = 200, words: DataFrame | No
     counts = rows.groupBy("word").agg(F.count("*").alias("freq"))
     if group is not None:
         mine = words.where(F.array_contains("groups", group)).select("word")
-        counts = counts.join(F.broadcast(mine) if _small(mine) else mine, "word", "left_semi")
+        counts = counts.join(mine, "word", "left_semi")
     most = F.broadcast(counts.agg(F.max("freq").alias("most")))  # one row
     if top is not None:
         counts = counts.orderBy(F.desc("freq"), "word").limit(top)

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .functions.resources import FILLERS, GROUP_OF, GROUPS, SLANG, STOPWORDS, TRANSLATION_MARK, TRANSLATIONS_ARTIST, WEIGHTS
-from .operators import language, lexicon, scoring, similarity, songs, stats
+from .functions.resources import FILLERS, GROUP_OF, GROUPS, MISSING, SLANG, STOPWORDS, TRANSLATION_MARK, TRANSLATIONS_ARTIST, WEIGHTS
+from .operators import language, lemmas, lexicon, scoring, similarity, songs, stats
 from .plans import pipelines
+from .sources import io
+from .sources.stages import fresh_path, spread, stored
 
 # ---- inputs -------------------------------------------------------------------------------------------------------
 
@@ -64,6 +66,11 @@ TEXT_ROWS = [
     (15, "kinda outta lotta dunno wassup cuz cause imma gotta"),
 ]
 
+#: A small dictionary, irregular words, and texts that need both.
+LEMMA_WORDS = ["dog", "knife", "box", "buzz", "church", "wish", "man", "fly", "bus", "glass", "loaf", "mouse", "news", "new", "axis", "axe"]
+LEMMA_EXCEPTIONS = [("mice", "mouse"), ("axes", "axis"), ("geese", "goose"), ("dogs", "hound")]
+LEMMA_TEXTS = [(1, "dogs boxes buzzes churches wishes men flies buses"), (2, "glasses loaves mice news axes geese knives"), (3, "dog dog Dogs unknowns s es flies"), (4, "mans womens loafs wish")]
+
 TRANSLATION_ROWS = [
     (1, "BTS - Spring Day (English Translation)", TRANSLATIONS_ARTIST),
     (2, "A - B - C English Translation", TRANSLATIONS_ARTIST),
@@ -92,7 +99,7 @@ def _songs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _songs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _songs(spark, sf_dir)
+    s = spread(_songs(spark, sf_dir))  # for cleaning, beside which the shuffle costs little
     return s.select("row_id", F.col("title").alias("Song Title"), F.col("artist").alias("Artist"), F.col("year").alias("Year"), (F.col("row_id") % 100 + 1).cast("int").alias("Rank"), F.col("lyrics").alias("Lyrics"))
 
 
@@ -109,13 +116,22 @@ def _translations(spark: SparkSession) -> DataFrame:
 
 
 def _with_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _songs(spark, sf_dir).select("row_id", "lyrics")
+    docs = spread(_songs(spark, sf_dir).select("row_id", "lyrics"))
     return docs.union(_texts(spark).select((-F.col("row_id")).alias("row_id"), "lyrics"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, digits: int | None = None) -> DataFrame:
     clean = pipelines.clean_b(_songs_b(spark, sf_dir))
-    return scoring.score(clean, lexicon.word_groups(_lexicon(spark)), keys=("row_id", "title", "artist", "year"), digits=None)
+    return scoring.score(clean, lexicon.word_groups(_lexicon(spark)), keys=("row_id", "title", "artist", "year"), digits=digits)
+
+
+def _stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores, stored, for what reads them more than once."""
+    return stored(_scored(spark, sf_dir), "scores")
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(pipelines.clean_b(_songs_b(spark, sf_dir)), "clean")
 
 
 # ---- queries ------------------------------------------------------------------------------------------------------
@@ -218,7 +234,7 @@ def dedupe_first(spark, sf_dir):
 
 @query
 def clean_a(spark, sf_dir):
-    df = pipelines.clean_a(_songs(spark, sf_dir), load=None)
+    df = pipelines.clean_a(spread(_songs(spark, sf_dir)), load=None)
     return df.withColumn("lyrics_tokens", F.array_join("lyrics_tokens", " "))
 
 
@@ -304,28 +320,32 @@ def count_correlation(spark, sf_dir):
 @query
 def ratio_regression(spark, sf_dir):
     row = stats.regression(_scored(spark, sf_dir), "anger")
-    return row.select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r", "r2", "stderr")), "n")
+    return _line(row)
+
+
+def _line(row):
+    return row.select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r", "r2", "stderr", "p_value")), "n")
 
 
 @query
 def ratio_regression_normalized(spark, sf_dir):
     row = stats.regression(_scored(spark, sf_dir), "love", "normalized_emotion_score")
-    return row.select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r", "r2", "stderr")), "n")
+    return _line(row)
 
 
 @query
 def iqr_filter(spark, sf_dir):
-    return songs.without_outliers(_scored(spark, sf_dir), "emotion_score").select("row_id", "emotion_score")
+    return songs.without_outliers(_stage(spark, sf_dir), "emotion_score").select("row_id", "emotion_score")
 
 
 @query
 def score_histogram(spark, sf_dir):
-    return _rounded_bins(stats.histogram(_scored(spark, sf_dir), "emotion_score", exclude_outliers=True))
+    return _rounded_bins(stats.histogram(_stage(spark, sf_dir), "emotion_score", exclude_outliers=True))
 
 
 @query
 def norm_histogram(spark, sf_dir):
-    return _rounded_bins(stats.histogram(_scored(spark, sf_dir), "normalized_emotion_score", 7))
+    return _rounded_bins(stats.histogram(_stage(spark, sf_dir), "normalized_emotion_score", 7))
 
 
 def _rounded_bins(df):
@@ -334,12 +354,12 @@ def _rounded_bins(df):
 
 @query
 def word_freq(spark, sf_dir):
-    return stats.word_frequencies(_scored(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return stats.word_frequencies(_stage(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query
 def word_freq_group(spark, sf_dir):
-    df = stats.word_frequencies(_scored(spark, sf_dir), words=lexicon.word_groups(_lexicon(spark)), group="anger")
+    df = stats.word_frequencies(_stage(spark, sf_dir), words=lexicon.word_groups(_lexicon(spark)), group="anger")
     return df.withColumn("weight", F.round("weight", 6))
 
 
@@ -355,7 +375,7 @@ def bottom_songs(spark, sf_dir):
 
 @query
 def top_songs_no_outliers(spark, sf_dir):
-    return _top(stats.top_songs(_scored(spark, sf_dir), n=20, exclude_outliers=True))
+    return _top(stats.top_songs(_stage(spark, sf_dir), n=20, exclude_outliers=True))
 
 
 @query
@@ -422,17 +442,17 @@ def trend_artist(spark, sf_dir):
 
 @query
 def minmax_score(spark, sf_dir):
-    return stats.min_max(_scored(spark, sf_dir), "emotion_score").select("row_id", F.round("emotion_score_scaled", 6).alias("scaled"))
+    return stats.min_max(_stage(spark, sf_dir), "emotion_score").select("row_id", F.round("emotion_score_scaled", 6).alias("scaled"))
 
 
 @query
 def kde(spark, sf_dir):
-    return stats.density(_scored(spark, sf_dir)).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return stats.density(_stage(spark, sf_dir)).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query
 def regression_line(spark, sf_dir):
-    return stats.regression_line(_scored(spark, sf_dir), "anger").select(*(F.round(c, 6).alias(c) for c in ("x", "y", "low", "high")))
+    return stats.regression_line(_stage(spark, sf_dir), "anger").select(*(F.round(c, 6).alias(c) for c in ("x", "y", "low", "high")))
 
 
 @query
@@ -447,7 +467,7 @@ def langid_filter(spark, sf_dir):
 
 @query
 def tfidf_similar(spark, sf_dir):
-    return similarity.similar(pipelines.clean_b(_songs_b(spark, sf_dir)).where("row_id is not null"), 42)
+    return similarity.similar(_cleaned(spark, sf_dir).where("row_id is not null"), 52).withColumn("cosine", F.round("cosine", 6))
 
 
 @query
@@ -455,6 +475,78 @@ def kmeans(spark, sf_dir):
     return similarity.clusters(pipelines.clean_b(_songs_b(spark, sf_dir))).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+# ---- rounded as published, sources and sinks ----------------------------------------------------------------------
+
+
+@query
+def song_stats_rounded(spark, sf_dir):
+    df = _scored(spark, sf_dir, digits=2)
+    return df.select("row_id", "emotion_word_ratio", *(f"ratio_{g}" for g in GROUPS))
+
+
+@query
+def group_mean_score_rounded(spark, sf_dir):
+    return stats.group_mean_score(_scored(spark, sf_dir))
+
+
+@query
+def lemma_rules(spark, sf_dir):
+    known = spark.createDataFrame([(w,) for w in LEMMA_WORDS], "word string")
+    odd = spark.createDataFrame(LEMMA_EXCEPTIONS, "word string, lemma string")
+    rows = spark.createDataFrame([(i, t.split(" ")) for i, t in LEMMA_TEXTS], "row_id bigint, lyrics_tokens array<string>")
+    return lemmas.lemmatize(rows, known, odd).select("row_id", F.array_join("lyrics_tokens", " ").alias("tokens"))
+
+
+@query
+def default_columns(spark, sf_dir):
+    return songs.default_columns(_songs(spark, sf_dir).select("row_id", "tag")).select("row_id", "title", "artist")
+
+
+def _written(spark: SparkSession, df: DataFrame, write) -> str:
+    path = fresh_path(spark, "table")
+    write(df, path)
+    return path
+
+
+@query
+def csv_songs_a(spark, sf_dir):
+    path = _written(spark, _songs(spark, sf_dir).drop("row_id"), io.write_csv)
+    return io.read_songs_a(spark, path).select("title", "tag", "artist", "year", "views", F.sha2(F.coalesce("lyrics", F.lit("")), 256).alias("lyrics_sha256"), "language")
+
+
+@query
+def csv_songs_b(spark, sf_dir):
+    path = _written(spark, _songs_b(spark, sf_dir).drop("row_id"), io.write_csv)
+    back = io.read_songs_b(spark, path)
+    return songs.rename(back, songs.RENAME_B).select("title", "artist", F.col("release date").alias("released"), "year", "rank", F.sha2(F.coalesce("lyrics", F.lit("")), 256).alias("lyrics_sha256"))
+
+
+@query
+def csv_lists(spark, sf_dir):
+    df = _songs(spark, sf_dir).select("row_id", F.slice(F.split("lyrics", " ", -1), 1, 5).alias("words")).where("words is not null")
+    back = io.parse_list(spark.read.schema("row_id bigint, words string").csv(_written(spark, df, io.write_csv), header=True, multiLine=True, escape='"'), "words")
+    return back.select("row_id", F.size("words").alias("n"), F.sha2(F.array_join("words", " "), 256).alias("words_sha256"))
+
+
+@query
+def stage_parquet(spark, sf_dir):
+    path = _written(spark, songs.year_range(_songs(spark, sf_dir)).select("row_id", "year"), io.write_stage)
+    io.replace_stage(io.read_stage(spark, path).withColumn("next_year", F.col("year") + 1), path)
+    return io.read_stage(spark, path)
+
+
+@query
+def lexicon_tsv(spark, sf_dir):
+    lines = _lexicon(spark).select(F.concat_ws("\t", "word", "emotion", F.col("association").cast("string")).alias("value"))
+    return io.read_lexicon(spark, _written(spark, lines, lambda df, path: df.write.text(path)))
+
+
+@query
+def filler_words(spark, sf_dir):
+    lines = spark.createDataFrame([(f" {w} ",) for w in [*FILLERS, "", FILLERS[0]]], "value string")
+    return io.read_words(spark, _written(spark, lines, lambda df, path: df.write.text(path)))
+
+
 # ---- DuckDB twins -------------------------------------------------------------------------------------------------
 
 
@@ -562,8 +654,14 @@ def _histogram(source: str, column: str, bins: int) -> str:
 
 def _regression(group: str, column: str) -> str:
     x, y = column, f"ratio_{group}"
+    even = "sqrt(r * r) * (SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)) * pow(1 - r * r, k)) FROM (SELECT unnest(range((n - 2) // 2)) AS k))"
+    odd = "2 / pi() * (asin(sqrt(r * r)) + sqrt(r * r) * sqrt(1 - r * r) * (SELECT coalesce(sum(exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(1 - r * r, k)), 0) FROM (SELECT unnest(range((n - 3) // 2)) AS k)))"
     return f"""{_SCORED}, r AS (SELECT regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, corr({y}, {x}) AS r, var_pop({x}) AS vx, var_pop({y}) AS vy, count(*) AS n FROM scored)
- SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(r * r, 6) AS r2, round(sqrt((1 - r * r) * vy / (vx * (n - 2))), 6) AS stderr, n FROM r"""
+ SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(r * r, 6) AS r2, round(sqrt((1 - r * r) * vy / (vx * (n - 2))), 6) AS stderr, round(greatest(1 - CASE WHEN n % 2 = 0 THEN {even} ELSE {odd} END, 0), 6) AS p_value, n FROM r"""
+
+
+def _missing(c: str) -> str:
+    return f"{c} IN ({', '.join(_q(x) for x in MISSING)})"
 
 
 def _frequencies(where: str) -> str:
@@ -649,4 +747,28 @@ ORACLES = {
     "kde": f"""{_SCORED}, sh AS (SELECT stddev_samp(emotion_score) * pow(count(*), -0.2) AS h, min(emotion_score) AS lo, max(emotion_score) AS hi FROM scored),
  g AS (SELECT lo + (hi - lo) * i / 199 AS x, h, lo, hi FROM sh, (SELECT unnest(range(200)) AS i)), v AS (SELECT emotion_score AS v, count(*) AS c FROM scored GROUP BY 1)
  SELECT round(x, 6) AS x, round(sum(c * exp(-0.5 * pow((x - v) / h, 2))) * (any_value(hi) - any_value(lo)) / 30 / (any_value(h) * sqrt(2 * pi())), 6) AS y FROM g, v GROUP BY x""",
+    "regression_line": f"""{_SCORED}, r AS (SELECT regr_slope(ratio_anger, emotion_score) AS slope, regr_intercept(ratio_anger, emotion_score) AS intercept, corr(ratio_anger, emotion_score) AS r, var_pop(emotion_score) AS vx, var_pop(ratio_anger) AS vy, count(*) AS n, min(emotion_score) AS lo, max(emotion_score) AS hi, avg(emotion_score) AS mean FROM scored),
+ g AS (SELECT *, lo + (hi - lo) * i / 99 AS x, sqrt((1 - r * r) * vy / (vx * (n - 2))) AS e FROM r, (SELECT unnest(range(100)) AS i))
+ SELECT round(x, 6) AS x, round(intercept + slope * x, 6) AS y, round(intercept + slope * x - 2 * e * sqrt(vx + pow(x - mean, 2)), 6) AS low, round(intercept + slope * x + 2 * e * sqrt(vx + pow(x - mean, 2)), 6) AS high FROM g""",
+    "sample_n": f"WITH {_SONGS} SELECT row_id FROM songs ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 100",
+    "langid_filter": f"""WITH {_SONGS}, w AS (SELECT row_id, language, list_filter(regexp_split_to_array(lower(lyrics), '[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+'), lambda x: x <> '') AS ws FROM songs WHERE lyrics IS NOT NULL)
+ SELECT row_id, language FROM w WHERE len(ws) > 0 AND len(list_filter(ws, lambda x: list_contains([{", ".join(_q(w) for w in language.COMMON_ENGLISH)}], x))) >= 0.05::DOUBLE * len(ws)""",
+    "tfidf_similar": f"""WITH {_SONGS}, {_TOKENS_B}, c AS (SELECT row_id, token, count(*) AS tf FROM (SELECT row_id, unnest(tokens) AS token FROM clean) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM c GROUP BY token),
+ w AS (SELECT row_id, token, tf * ln(((SELECT count(*) FROM clean) + 1) / (df + 1)) AS weight FROM c JOIN d USING (token)), one AS (SELECT token, weight AS own FROM w WHERE row_id = 52),
+ s AS (SELECT row_id, sqrt(sum(weight * weight)) AS norm, coalesce(sum(weight * own), 0) AS dot FROM w LEFT JOIN one USING (token) WHERE row_id <> 52 GROUP BY row_id)
+ SELECT row_id, title, round(coalesce(dot / (norm * (SELECT sqrt(sum(own * own)) FROM one)), 0), 6) AS cosine FROM clean LEFT JOIN s USING (row_id) WHERE row_id <> 52 AND EXISTS (SELECT 1 FROM one) ORDER BY coalesce(dot / (norm * (SELECT sqrt(sum(own * own)) FROM one)), 0) DESC, row_id LIMIT 10""",
+    "song_stats_rounded": f"{_SCORED} SELECT row_id, {', '.join(f'round_even({c}, 2) AS {c}' for c in ['emotion_word_ratio', *(f'ratio_{g}' for g in GROUPS)])} FROM scored",
+    "group_mean_score_rounded": f"{_SCORED} " + " UNION ALL ".join(f"SELECT '{g}' AS \"group\", round_even(avg(emotion_score) FILTER (WHERE count_{g} > 0), 2) AS mean_score FROM scored" for g in GROUPS),
+    "lemma_rules": f"""WITH {_values([(w,) for w in LEMMA_WORDS], "known", "word")}, {_values(LEMMA_EXCEPTIONS, "odd", "word, lemma")}, {_values(LEMMA_TEXTS, "texts", "row_id, t")}, {_values(list(lemmas.NOUN_SUFFIXES.items()), "rules", "suffix, instead")},
+ e AS (SELECT row_id, unnest(string_split(t, ' ')) AS word, generate_subscripts(string_split(t, ' '), 1) AS pos FROM texts), ws AS (SELECT DISTINCT word FROM e),
+ forms AS (SELECT word, word AS lemma FROM ws UNION SELECT word, lemma FROM ws JOIN odd USING (word) UNION SELECT word, left(word, len(word) - len(suffix)) || instead FROM ws, rules WHERE ends_with(word, suffix) AND word NOT IN (SELECT word FROM odd)),
+ best AS (SELECT word, arg_min(lemma, (len(lemma), lemma)) AS lemma FROM forms WHERE lemma IN (SELECT word FROM known) GROUP BY word)
+ SELECT row_id, string_agg(coalesce(lemma, word), ' ' ORDER BY pos) AS tokens FROM e LEFT JOIN best USING (word) GROUP BY row_id""",
+    "default_columns": f"WITH {_SONGS} SELECT row_id, 'Unknown ' || CAST(row_number() OVER (ORDER BY row_id) AS VARCHAR) AS title, 'Unknown' AS artist FROM songs",
+    "csv_songs_a": f"WITH {_SONGS} SELECT title, tag, artist, year, views, sha256(CASE WHEN {_missing('lyrics')} THEN '' ELSE coalesce(lyrics, '') END) AS lyrics_sha256, CASE WHEN {_missing('language')} THEN NULL ELSE language END AS language FROM songs",
+    "csv_songs_b": f"WITH {_SONGS} SELECT title, artist, CAST(NULL AS VARCHAR) AS released, year, CAST(row_id % 100 + 1 AS INTEGER) AS rank, sha256(CASE WHEN {_missing('lyrics')} THEN '' ELSE coalesce(lyrics, '') END) AS lyrics_sha256 FROM songs",
+    "csv_lists": f"WITH {_SONGS} SELECT row_id, CAST(len(string_split(lyrics, ' ')[1:5]) AS INTEGER) AS n, sha256(array_to_string(string_split(lyrics, ' ')[1:5], ' ')) AS words_sha256 FROM songs WHERE lyrics IS NOT NULL",
+    "stage_parquet": f"WITH {_SONGS} SELECT row_id, year, year + 1 AS next_year FROM numbered WHERE year BETWEEN 1980 AND 2024",
+    "lexicon_tsv": f"WITH {_values(LEXICON_ROWS, 'lexicon', 'word, emotion, association')} SELECT word, emotion, association FROM lexicon",
+    "filler_words": f"WITH {_values([(w,) for w in FILLERS], 'words', 'word')} SELECT DISTINCT word FROM words",
 }

@@ -26,8 +26,9 @@ def missing_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A number that rises in the order of the source; take a key of the source instead where it has one. Given straight
-    after the scan, before any shuffle."""
+    """Different numbers that rise within each file in the order of its rows; several files, and parts of one, follow each other as
+    Spark deals them to tasks, the larger first. Take a key of the source instead where it has one. Given straight after the
+    scan, before any shuffle."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -100,15 +101,20 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_stage(df: DataFrame, path: str) -> None:
-    """Replaces a stage that df itself may read: written beside it, then swapped."""
+    """Replaces a stage that df itself may read: written beside it, then swapped; if the second of the two renames fails, the
+    old stage is put back."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     new, old = (f"{path.rstrip('/')}.{k}-{uuid.uuid4().hex}" for k in ("new", "old"))
     df.write.parquet(new)
     make = jvm.org.apache.hadoop.fs.Path
     fs = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(make(path)):
-        fs.rename(make(path), make(old))
-    fs.rename(make(new), make(path))
+    there = fs.exists(make(path))
+    if there and not fs.rename(make(path), make(old)):
+        raise OSError(f"{path} can't be renamed")
+    if not fs.rename(make(new), make(path)):
+        if there:
+            fs.rename(make(old), make(path))
+        raise OSError(f"{new} can't be renamed")
     fs.delete(make(old), True)
     spark.catalog.refreshByPath(path)

@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from refrain import queries
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["clean_a", "count_correlation", "dedupe_first", "group_mean_score", "lexicon_group_counts", "score_histogram", "song_stats", "top_songs", "translation_fix", "treebank_tokens", "word_freq", "year_filter"]
+QUICK = ["clean_a", "count_correlation", "csv_lists", "csv_songs_a", "csv_songs_b", "dedupe_first", "default_columns", "filler_words", "group_mean_score_rounded", "langid_filter", "lemma_rules", "lexicon_group_counts", "lexicon_tsv", "ratio_regression", "regression_line", "sample_n", "score_histogram", "song_stats", "song_stats_rounded", "stage_parquet", "tfidf_similar", "top_songs", "translation_fix", "treebank_tokens", "word_freq", "year_filter"]
 
 
 def rows(frame):
