@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["p"]) < n:
         size = max(n, 2 * SLICE_BYTES)
         for k, base in (("p", _P), ("i", _P_INV)):
@@ -61,13 +61,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `size` bytes of text, or of one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES, rows: int = 1 << 62) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows and `size` bytes of text, or of one row."""
     for batch in batches:
         _, offsets = raw(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 
@@ -91,7 +91,7 @@ class Words:
         n = len(self.data)
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        p, inverse = _power(n + 1)
+        p, inverse = power(n + 1)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])

@@ -1,52 +1,11 @@
-"""Session helpers: the folder the cluster shares, and range buckets whose number is bounded."""
+"""Session helpers."""
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..operators.ranges import range_bucket
+from ..sources.stages import fresh_path, shared_dir, stored
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a local one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="refrain-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session may have ended; its folder then goes with the cluster
-            continue
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/refrain-{uuid.uuid4().hex}/{tag}"
-    _made.append((spark, path))
-    return path
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["checkpointed", "fresh_path", "partitions", "range_bucket", "stored"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -56,24 +15,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def range_bucket(df: DataFrame, column: str, pieces: int) -> Column:
-    """A bucket number 0..pieces-1 that rises with `column`, from approximate quantiles: only `pieces` numbers reach
-    the driver. Equal values share a bucket; null goes to bucket 0."""
-    cuts: list = []
-    if pieces > 1:
-        found = df.agg(F.percentile_approx(column, [i / pieces for i in range(1, pieces)], 50 * pieces).alias("q")).first()
-        cuts = sorted(set(found.q or []))
-    if not cuts:
-        return F.lit(0)
-    # a balanced tree of comparisons, so each row needs only log2(pieces) of them
-    at = F.col(column)
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(at <= F.lit(cuts[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return F.when(at.isNull(), F.lit(0)).otherwise(pick(0, len(cuts)))

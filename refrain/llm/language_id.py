@@ -25,6 +25,8 @@ MAX_TRAIN = 5000
 #: The cosine of unrelated vectors has a standard deviation of 1 / sqrt(DIMENSIONS), 0.031, whatever the text's length; in fewer
 #: letters a language's own texts come as low.
 MIN_LETTERS, MIN_COSINE = 30, 0.14
+#: Texts handled at once, and n-grams multiplied at once: their counts are one array of that many numbers.
+_ROWS, _GRAMS = 512, 2048
 #: Letters up to which n-gram numbers are counted in one dense array.
 _DENSE = 96
 
@@ -78,8 +80,8 @@ def vectors(texts: list[str | None], seed: int) -> tuple[np.ndarray, np.ndarray]
         used, which = np.unique(gram, return_inverse=True)
     atoms = np.stack([np.ones(DIMENSIONS, np.int8), *(_vector(int(c), seed) for c in alphabet)])
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    for at in range(0, len(used), 4096):
-        part = used[at : at + 4096]
+    for at in range(0, len(used), _GRAMS):
+        part = used[at : at + _GRAMS]
         bound = np.roll(atoms, 2, axis=1)[part // base**2] * np.roll(atoms, 1, axis=1)[part // base % base] * atoms[part % base]
         inside = (which >= at) & (which < at + len(part))
         counts = np.bincount(owner[inside] * len(part) + which[inside] - at, minlength=len(texts) * len(part)).reshape(len(texts), len(part))
@@ -98,7 +100,7 @@ def profiles(labelled: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, rows=_ROWS):
             langs = np.array(batch.column(1).to_pylist(), object)
             v, _ = vectors(batch.column(0).to_pylist(), seed)
             for lang in set(langs):
@@ -131,7 +133,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 7)
     docs = docs.drop("lang_pred", "score", "in_none").select("*", F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("in_none"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows=_ROWS):
             v, letters = vectors(batch.column(batch.schema.get_field_index("text")).to_pylist(), seed)
             pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             none = np.ones(batch.num_rows, bool)

@@ -240,9 +240,14 @@ def initial(v: Vocabulary, seed: int = 11) -> tuple[list[np.ndarray], list[np.nd
     return out[0], out[1]
 
 
+def _order(index: np.ndarray) -> np.ndarray:
+    """A stable order; numbers of 16 bits are sorted by digits."""
+    return np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
+
+
 def _scatter(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the rows of equal index."""
-    order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
+    order = _order(index)
     ordered = index[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     return ordered[first], np.add.reduceat(grad[order], first, axis=0)
@@ -384,8 +389,10 @@ def inner_logs(v: Vocabulary, params: list[np.ndarray], choice: np.ndarray, s: n
     near, far, out, bias = params
     found = np.zeros(len(s))
     mine = np.flatnonzero(choice >= 0)
-    mine = mine[np.argsort(s[mine], kind="stable")]
-    kinds, starts = np.unique(s[mine], return_index=True)
+    mine = mine[_order(s[mine])]
+    ordered = s[mine]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(mine) else mine
+    kinds = ordered[starts]
     for k, at, to in zip(kinds.tolist(), starts.tolist(), np.append(starts, len(mine))[1:].tolist(), strict=True):
         low, high = v.first[k - FREQUENT], v.first[k - FREQUENT + 1]
         if high - low == 1:
@@ -410,12 +417,10 @@ def token_logs(v: Vocabulary, outer: Outer, inner: list[np.ndarray], s: np.ndarr
 
 
 def _places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Where each of h, with many repeats, stands in the sorted table."""
-    order = np.argsort(h)
-    ordered = h[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    """Where each of h stands in the sorted table."""
+    order = np.argsort((h >> np.uint64(48)).astype(np.uint16), kind="stable")  # neighbours in the table are looked up together
     out = np.empty(len(h), np.int64)
-    out[order] = np.repeat(np.searchsorted(table, ordered[first]), np.diff(np.append(first, len(h))))
+    out[order] = np.searchsorted(table, h[order])
     return out
 
 
@@ -489,7 +494,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     dealt = base.select("text", "block", (~F.col("held_out")).alias("train")).repartition(pieces, "block")
     counted = stored(dealt.mapInArrow(_count(pieces), _COUNTED_SQL), "counted")
     size = counted.agg(F.coalesce(F.sum(F.octet_length("hashes") + F.octet_length("counts") + F.octet_length("kinds")), F.lit(0))).first()[0]
-    groups = max(1, min(pieces, -(-size // _TOGETHER)))
+    groups = max(1, pieces // 8, min(pieces, -(-size // _TOGETHER)))
     totals = stored(counted.groupBy((F.col("part") % groups).alias("group")).applyInArrow(_total, _COUNTED_SQL), "totals")
     tops, sums = ([_read(r) for r in totals.where(f"block = {k}").collect()] for k in (-1, -3))
     least = floor(sum(int(c[0]) for _, c, _ in sums))

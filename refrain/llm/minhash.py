@@ -8,8 +8,10 @@ equal keys has a centre, the node with the most company in all its buckets. The
   2. where they lie in different components by then, compared with each other, those outside the largest component
      against all. That goes in cells of LEFT by RIGHT nodes, spread over the cluster: first by sketches of 256 bits
      of the minima, which rule out pairs far below the threshold (six standard deviations at it) and so most nodes,
-     then on full sets. A cell returns the links found, never its pairs.
-So no bucket is expanded into rows for all pairs and none is capped, and each pair that shares a bucket is decided, by its sketches or on full sets.
+     then on full sets, in cells bounded by shingles too. A cell returns the links found, never its pairs. The cells
+     of one centre grow with the square of its nodes outside the largest component.
+Nodes around a large centre are dealt over seats of NEAR nodes, on average, and what belongs to the centre goes to each
+seat, so that no task gets them all. So no bucket is expanded into rows for all pairs and none is capped, and each pair that shares a bucket is decided, by its sketches or on full sets.
 With 42 bands of 6 rows a pair with a likeness of 0.85 shares no bucket once in 4e8 pairs, and less often above that.
 """
 
@@ -27,6 +29,10 @@ from .components import components
 BANDS, ROWS, SKETCH_LONGS = 42, 6, 4
 #: Nodes on the two sides of a cell.
 LEFT, RIGHT = 256, 1024
+#: Shingles on the two sides of a cell that holds texts, on average.
+LEFT_SHINGLES, RIGHT_SHINGLES = 1 << 17, 1 << 19
+#: Nodes around a centre for each of its seats.
+NEAR = 256
 #: Shingles hashed at once, so that the work arrays stay in a CPU's cache.
 _CHUNK = 1 << 15
 _SIGNATURES = f"doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, {', '.join(f's{i} bigint' for i in range(SKETCH_LONGS))}"
@@ -91,23 +97,35 @@ def _most_apart(similarity: float, used: int) -> int:
 
 
 def _close(a: str, b: str, similarity: float, used: int) -> Column:
-    """Sizes that allow the likeness, and sketches that don't rule it out."""
-    apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
-    sizes = [F.col(f"{x}.n_shingles").cast("double") for x in (a, b)]
+    """Sizes that allow the likeness, and sketches that don't rule it out, of columns with the prefixes a and b."""
+    apart = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
+    sizes = [F.col(f"{x}n_shingles").cast("double") for x in (a, b)]
     return (F.least(*sizes) >= (similarity - 1e-9) * F.greatest(*sizes)) & (apart <= _most_apart(similarity, used))
 
 
-def _cells(around: DataFrame) -> DataFrame:
-    """Rows of around(centre, doc_id, component, big, ...) dealt into cells (centre, i, j): on the left the nodes outside the
-    largest component, on the right all. Nodes are hashed into blocks, LEFT and RIGHT nodes of them on average."""
+def _seated(around: DataFrame, of_centre: DataFrame) -> DataFrame:
+    """around(centre, seat, ...) with the columns of of_centre(centre, ...), which go to every seat of the centre."""
+    seats = around.select("centre", "seat").distinct().join(of_centre, "centre")
+    return around.join(seats, ["centre", "seat"])
+
+
+def _cells(around: DataFrame, texts: bool) -> DataFrame:
+    """Rows of around(centre, seat, doc_id, component, big, n_shingles, ...) dealt into cells (centre, i, j): on the left the
+    nodes outside the largest component, on the right all. Nodes are hashed into blocks, LEFT and RIGHT nodes of them on
+    average and, with texts, LEFT_SHINGLES and RIGHT_SHINGLES shingles."""
     placed = around.withColumn("left", F.col("component") != F.col("big"))
-    sizes = placed.groupBy("centre").agg(F.count("*").alias("all"), F.count_if("left").alias("lefts"))
-    parts = sizes.select("centre", F.ceil(F.col("lefts") / LEFT).cast("int").alias("ni"), F.ceil(F.col("all") / RIGHT).cast("int").alias("nj"))
-    met = placed.join(parts, "centre")
+    sizes = placed.groupBy("centre").agg(F.count("*").alias("all"), F.count_if("left").alias("lefts"), F.sum("n_shingles").alias("all_s"), F.sum(F.when(F.col("left"), F.col("n_shingles"))).alias("lefts_s"))
+
+    def blocks(nodes: str, most: int, shingles: str, most_shingles: int) -> Column:
+        n = F.ceil(F.col(nodes) / most)
+        return (F.greatest(n, F.ceil(F.col(shingles) / most_shingles)) if texts else n).cast("int")
+
+    parts = sizes.select("centre", blocks("lefts", LEFT, "lefts_s", LEFT_SHINGLES).alias("ni"), blocks("all", RIGHT, "all_s", RIGHT_SHINGLES).alias("nj")).where("lefts > 0")
+    met = _seated(placed, parts)
     own = F.xxhash64("doc_id", F.lit(3))
     left = met.where("left").withColumn("i", F.pmod(own, F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
     right = met.withColumn("left", F.lit(False)).withColumn("j", F.pmod(own, F.col("nj")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
-    return left.unionByName(right).drop("ni", "nj", "big")
+    return left.unionByName(right).drop("ni", "nj", "big", "seat")
 
 
 def _possible(similarity: float, used: int):
@@ -170,7 +188,7 @@ def _linked(width: int, num: int, den: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Of pairs (u, v) of document ids, those whose full sets satisfy den * intersection >= num * union."""
+    """Of pairs (centre, seat, doc_id) of document ids, named u and v, those whose full sets satisfy den * intersection >= num * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -201,9 +219,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
     one = docs.select("doc_id", "text").where("doc_id is not null")
-    right = pairs.join(one.withColumnsRenamed({"doc_id": "v", "text": "text_v"}), "v")
-    both = right.join(one.withColumnsRenamed({"doc_id": "u", "text": "text_u"}), "u")
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
+    both = _seated(pairs.join(one.withColumnRenamed("text", "text_v"), "doc_id"), one.withColumnsRenamed({"doc_id": "centre", "text": "text_u"}))
+    return both.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"), "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
@@ -228,12 +245,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ba
     met = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
     company = met.groupBy("doc_id").agg(F.sum("n").alias("company"))
     centres = met.join(company, "doc_id").groupBy("key").agg(F.max(F.struct("company", F.negative("doc_id").alias("minus"))).alias("m")).select("key", F.negative("m.minus").alias("centre"))
-    around = stored(met.join(centres, "key").where("doc_id <> centre").select("centre", "doc_id").distinct(), "around")
+    around = met.join(centres, "key").where("doc_id <> centre").groupBy("centre", "doc_id").agg(F.max("n").alias("n"))
+    around = stored(around.select("centre", "doc_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / NEAR)).cast("int").alias("seat")), "around")
 
-    a, b = node.alias("a"), node.alias("b")
     used = min(bands * rows, 64 * SKETCH_LONGS)
-    stars = around.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"))
-    stars = stars.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_close("a", "b", similarity, used)).select("u", "v")
+    of_centre = node.withColumnsRenamed({c: "centre" if c == "doc_id" else f"c_{c}" for c in node.columns})
+    stars = _seated(around.join(node, "doc_id"), of_centre).where(_close("c_", "", similarity, used)).select("centre", "seat", "doc_id")
     links = stored(_verified(stars, docs, width, num, den), "links")
     label = stored(components(links), "labels")
 
@@ -241,13 +258,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ba
     placed = around.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     per = placed.groupBy("centre", "component").agg(F.count("*").alias("size"))
     mixed = per.groupBy("centre").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1").select("centre", F.col("m.component").alias("big"))
-    several = placed.join(mixed, "centre")
-    grouped = _cells(several.join(node, "doc_id")).groupBy("centre", "i", "j")
+    several = stored(_seated(placed, mixed).join(node, "doc_id"), "several")
+    grouped = _cells(several, texts=False).groupBy("centre", "i", "j")
     possible = stored(grouped.applyInArrow(_possible(similarity, used), "centre bigint, doc_id bigint").distinct(), "possible")
     if not possible.isEmpty():
         texts = docs.select("doc_id", "text").where("doc_id is not null")
-        left = several.join(possible, ["centre", "doc_id"]).join(texts, "doc_id")
-        more = _cells(left).groupBy("centre", "i", "j").applyInArrow(_linked(width, num, den), "u bigint, v bigint")
+        left = several.drop(*sketch).join(possible, ["centre", "doc_id"])
+        more = _cells(left, texts=True).join(texts, "doc_id").groupBy("centre", "i", "j").applyInArrow(_linked(width, num, den), "u bigint, v bigint")
         links = stored(links.union(more).distinct(), "all_links")
         label = stored(components(links), "all_labels")
 

@@ -1,7 +1,7 @@
 """Packing into optimal length buckets.
 
 The global histogram of piece lengths (at most max_tokens numbers) goes to the driver; dynamic programming over it
-chooses the bucket boundaries with the least padding. Inside each bucket, in order of (doc_id, piece), batches of as
+chooses the bucket boundaries with the least padding. The queries count tokens exactly, with token_counts. Inside each bucket, in order of (doc_id, piece), batches of as
 many pieces as the token budget holds are formed. Ranks are exact without one task for a bucket: documents are cut into
 ranges of doc_id, ranked inside (bucket, range), and shifted by the counts of the ranges before.
 """
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions, range_bucket
+from ._shared import partitions, range_bucket, stored
 
 
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -55,7 +55,7 @@ def word_count(text: str = "text") -> Column:
 def pack(docs: DataFrame, length: Column | None = None, max_tokens: int = 4096, buckets: int = 12, budget: int = 65_536) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, bucket, batch, slot): every token of every row of docs(doc_id, text, ...).
 
-    `length` gives a row's tokens (default: its words). A row of more than max_tokens is cut into pieces of max_tokens
+    `length` gives a row's tokens (default: its words); it is computed once for each row and stored. A row of more than max_tokens is cut into pieces of max_tokens
     and a rest. bucket is the padded length; batch counts from 0 inside a bucket; slot is the place in the batch, which
     holds budget // bucket pieces (one at least). Null and empty texts have no tokens and no piece. Rows that repeat a
     doc_id each have their pieces, ordered by length among themselves; a null doc_id comes first. Other columns are
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, length: Column | None = None, max_tokens: int = 4096,
     if max_tokens < 1 or buckets < 1:
         raise ValueError("max_tokens and buckets must be positive")
     spark = docs.sparkSession
-    sized = docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("total"))
+    sized = stored(docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("total")), "lengths")
     piece = F.explode(F.when(F.col("total") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / max_tokens)))).alias("piece")
     pieces = sized.select("doc_id", "total", piece).withColumn("n_tokens", F.least(F.lit(max_tokens).cast("long"), F.col("total") - F.col("piece") * max_tokens))
     found = pieces.groupBy("n_tokens").count().collect()  # max_tokens rows at most
@@ -72,7 +72,7 @@ def pack(docs: DataFrame, length: Column | None = None, max_tokens: int = 4096,
     bucket = F.lit(None).cast("long")
     for b in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bucket)
-    pieces = pieces.withColumn("bucket", bucket).withColumn("part", range_bucket(docs, "doc_id", partitions(spark)))
+    pieces = pieces.withColumn("bucket", bucket).withColumn("part", range_bucket(sized, "doc_id", partitions(spark)))
     counts = pieces.groupBy("bucket", "part").count()
     before = counts.select("bucket", "part", (F.sum("count").over(Window.partitionBy("bucket").orderBy("part")) - F.col("count")).alias("before"))
     # buckets x parts rows, both of them set by parameters and the session

@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(token_counts.token_counts(table(spark, sf_dir, "documents")), F.col("n_tokens"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,19 @@
 """Exact token counts of a SentencePiece BPE model by rank-synchronous array merging.
 
 A text is cut into pre-tokens where no merge can reach across: before each run of word marks, and around characters
-that no piece of two or more characters holds. Batched pre-tokens are ragged numpy arrays of symbols. In every step each
-sequence's lowest-rank pair (the leftmost, if several have that rank) is merged, in all sequences at once; sequences
-without a pair leave. What survives is counted; a character outside the vocabulary counts as its UTF-8 bytes. One pair
-a step and sequence is what the library does too: in its vocabularies a merged symbol may open a pair of a lower rank.
+that no piece of two or more characters holds. Batched pre-tokens are ragged numpy arrays of symbols. The library merges the
+lowest-rank pair of a sequence again and again, the leftmost if several have that rank. In every step here, in all
+sequences at once, are merged
+  - each sequence's lowest-rank pair, and
+  - all pairs that the library will merge whatever happens around them. The symbol before a pair can only grow into one that
+    ends with it, the symbol after into one that begins with it, by merges of their own; tables have the lowest rank by which a
+    pair with any of these can come about.
+    A pair is merged for sure if its rank is below all that could take one of its symbols away (on the left equal ranks
+    count too, as the leftmost comes first). Merging it at once changes nothing that is decided before its turn if its
+    rank is also below that of all pairs that the merged symbol can be in. In a run such as `aaaa` every second pair
+    follows from the first.
+Between symbols that no pair can ever join, whatever they grow into, a sequence is cut in two. Long sequences thus end after a few steps too, with work in proportion to their length. Sequences without a pair leave. What
+survives is counted; a character outside the vocabulary counts as its UTF-8 bytes.
 """
 
 import functools
@@ -14,16 +23,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._arrays import slices
+from ._arrays import mix, power, raw, slices
 
-MARK = "▁"
-#: Counts of pre-tokens that a worker keeps; the store is emptied beyond that, so memory is bounded.
-KEPT = 800_000
+MARK = 0x2581
+#: Counts of pre-tokens that a worker keeps, by 64-bit hashes; the store is emptied beyond that, so memory is bounded.
+KEPT = 1 << 20
+#: Longer pre-tokens are merged each time.
+LONGEST_KEPT = 64
 #: Symbols merged in one batch of arrays.
 BATCH_SYMBOLS = 1 << 18
 _NONE = np.int64(1) << np.int64(60)
 
 
+def _find(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
+
+
+def _lowest(keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the lowest rank of each."""
+    order = np.lexsort((ranks, keys))
+    keys, ranks = keys[order], ranks[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], ranks[first]
+
+
 class Merger:
     """Merge table of a model: pairs of symbol numbers with the rank and number of what they become."""
 
@@ -32,107 +56,176 @@ class Merger:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        if any(b == MARK and a != MARK for p in scores for a, b in zip(p, p[1:], strict=False)):
+        mark = chr(MARK)
+        if any(b == mark and a != mark for p in scores for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece holds a word mark after another character: texts can't be cut there")
         rank = {p: i for i, p in enumerate(sorted(scores, key=lambda p: -scores[p]))}
-        self.number: dict[str, int] = {p: i for i, p in enumerate(scores)}
-        self.known = {p for p in scores if len(p) == 1}
-        self.joins = {c for p in scores if len(p) > 1 for c in p}
+        number = {p: i for i, p in enumerate(scores)}
+        known = {p for p in scores if len(p) == 1}
+        joins = {c for p in scores if len(p) > 1 for c in p} | {mark}
         # all characters that pieces hold need a number, in the vocabulary or not
-        for c in sorted(self.joins - self.known):
-            self.number.setdefault(c, len(self.number))
-        n = self.n = len(self.number)
-        keys, values = [], []
-        for p in scores:
-            for k in range(1, len(p)):
-                if p[:k] in self.number and p[k:] in self.number:
-                    keys.append(self.number[p[:k]] * n + self.number[p[k:]])
-                    values.append((rank[p], self.number[p]))
-        order = np.argsort(keys)
-        self.keys = np.array(keys, np.int64)[order]
-        self.ranks, self.made = np.array(values, np.int64)[order].T.copy()
+        for c in sorted(joins - known):
+            number.setdefault(c, len(number))
+        n = self.n = len(number)
+        pairs = [(number[p[:k]], number[p[k:]], rank[p], number[p]) for p in scores for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        left, right, ranks, made = np.array(sorted(pairs), np.int64).T.copy()
+        self.keys, self.ranks, self.made = left * n + right, ranks, made
+        text = {i: p for p, i in number.items()}
+        before, after, across = [], [], set()
+        for x, y, r in zip(left.tolist(), right.tolist(), ranks.tolist(), strict=True):
+            ends = [number[u] for u in (text[x][k:] for k in range(len(text[x]))) if u in number]
+            begins = [number[u] for u in (text[y][: k + 1] for k in range(len(text[y]))) if u in number]
+            # what has yet to grow must be merged first, by a rank of its own
+            before += [(u * n + y, r if u == x else max(r, rank[text[x]])) for u in ends]
+            after += [(x * n + u, r if u == y else max(r, rank[text[y]])) for u in begins]
+            across.update(u * n + w for u in ends for w in begins)
+        #: Of (symbol, next symbol): the lowest rank by which a pair comes about whose left ends with the first, or whose right
+        #: begins with the second.
+        self.before, self.before_rank = _lowest(*np.array(before, np.int64).T)
+        self.after, self.after_rank = _lowest(*np.array(after, np.int64).T)
+        #: (symbol, next symbol) that some pair joins.
+        self.across = np.sort(np.fromiter(across, np.int64, len(across)))
         self.bytes = np.ones(n, np.int64)
-        for p, i in self.number.items():
+        for p, i in number.items():
             if p not in scores:
                 self.bytes[i] = len(p.encode())
-        self.code = np.zeros(0x110000, np.int32)
-        for c in self.joins:
-            self.code[ord(c)] = self.number[c]
-        self.counts: dict[str, int] = {}
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * self.n + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], _NONE), self.made[at]
-
-    def _merge(self, sequences: list[str]) -> np.ndarray:
-        """Tokens of each sequence."""
-        out = np.zeros(len(sequences), np.int64)
-        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        symbols = self.code[np.frombuffer("".join(sequences).encode("utf-32-le"), np.uint32)].astype(np.int64)
-        which = np.arange(len(sequences))
-        while len(which):
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            rank = np.full(len(symbols), _NONE, np.int64)
-            made = np.zeros(len(symbols), np.int64)
-            if len(symbols) > 1:
-                rank[:-1], made[:-1] = self._pairs(symbols[:-1], symbols[1:])
-            rank[ends - 1] = _NONE
+        self.code = np.full(0x110000, -1, np.int32)
+        for c in joins:
+            self.code[ord(c)] = number[c]
+        #: Tokens of a character that merges with none.
+        points = np.arange(0x110000)
+        self.alone = (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).astype(np.int8)
+        self.alone[[ord(c) for c in known]] = 1
+        self.alone[self.code >= 0] = 0
+        self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def _bound(self, keys: np.ndarray, ranks: np.ndarray, left: np.ndarray, right: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """The lowest rank of a pair by a table; none where nothing stands there."""
+        at, hit = _find(keys, left * self.n + right)
+        return np.where(hit & open_, ranks[at], _NONE)
+
+    def _certain(self, s: np.ndarray, inside: np.ndarray, rank: np.ndarray, made: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the pairs at `at`, those that are merged whatever happens around them. inside: a symbol and the next are of one
+        sequence. made: what the pair at a place becomes."""
+        end = len(s) - 1
+        own = rank[at]
+        has_left, has_right = inside[np.maximum(at - 1, 0)] & (at > 0), inside[at + 1]
+        at = at[(np.where(has_right, rank[np.minimum(at + 1, end)], _NONE) >= own) & (np.where(has_left, rank[np.maximum(at - 1, 0)], _NONE) >= own)]
+        own, new = rank[at], made[at]
+        has_left, has_right = inside[np.maximum(at - 1, 0)] & (at > 0), inside[at + 1]
+        left, right = s[np.maximum(at - 1, 0)], s[np.minimum(at + 2, end)]
+        free = (own <= self._bound(self.after, self.after_rank, s[at + 1], right, has_right)) & (own < self._bound(self.after, self.after_rank, new, right, has_right))
+        sure = free & (own < self._bound(self.before, self.before_rank, left, s[at], has_left)) & (own < self._bound(self.before, self.before_rank, left, new, has_left))
+        # in a run of equal symbols the second pair after a sure one, which leaves the merged symbol before it
+        both = np.ones(len(at), bool)
+        joined = np.zeros(len(at), bool)
+        joined[1:] = (at[1:] == at[:-1] + 1) & (s[at[1:]] == s[at[:-1]]) & (s[at[1:] + 1] == s[at[1:]]) & free[1:] & free[:-1]
+        if joined.any():
+            run = np.flatnonzero(joined)
+            alone = self._bound(self.before, self.before_rank, new[run], s[at[run]], both[run]), self._bound(self.before, self.before_rank, new[run], new[run], both[run])
+            joined[run] = (own[run] < alone[0]) & (own[run] < alone[1])
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(joined, 0, place))
+        return at[np.where(joined, sure[start] & ((place - start) % 2 == 0), sure)]
+
+    def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of each sequence; sizes: symbols of each, one at least."""
+        out = np.zeros(len(sizes), np.int64)
+        s, which = symbols.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        inside = np.append(which[1:] == which[:-1], [False, False])  # a symbol and the next are of one sequence
+        while len(s):
+            inside[:-2] &= _find(self.across, s[:-1] * self.n + s[1:])[1]
+            rank = np.full(len(s), _NONE, np.int64)
+            made = np.zeros(len(s), np.int64)
+            at = np.flatnonzero(inside)
+            spot, hit = _find(self.keys, s[at] * self.n + s[at + 1])
+            rank[at[hit]], made[at[hit]] = self.ranks[spot[hit]], self.made[spot[hit]]
+            starts = np.append(0, np.flatnonzero(~inside[: len(s) - 1]) + 1)
+            own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(s))))
             best = np.minimum.reduceat(rank, starts)
-            live = best < _NONE
-            weight = self.bytes[symbols]
-            out[which[~live]] = np.add.reduceat(weight, starts)[~live]
-            hit = np.flatnonzero((rank == np.repeat(best, sizes)) & np.repeat(live, sizes))
-            owner = np.searchsorted(ends, hit, "right")
-            first = np.append(True, owner[1:] != owner[:-1]) if len(hit) else np.empty(0, bool)
-            hit = hit[first]
-            symbols[hit] = made[hit]
-            keep = np.repeat(live, sizes)
+            live = (best < _NONE)[own]
+            out += np.bincount(which[~live], self.bytes[s[~live]], len(out)).astype(np.int64)
+            lowest = np.flatnonzero((rank == best[own]) & live)
+            lowest = lowest[np.append(True, own[lowest[1:]] != own[lowest[:-1]])] if len(lowest) else lowest
+            # a sequence's lowest pair overlaps no sure pair: of the two the one with the lower rank, or the left one, would be both
+            merged = np.zeros(len(s), bool)
+            merged[lowest] = True
+            merged[self._certain(s, inside, rank, made, np.flatnonzero(rank < _NONE))] = True
+            hit = np.flatnonzero(merged)
+            s[hit] = made[hit]
+            inside[hit] = inside[hit + 1]
+            keep = live
             keep[hit + 1] = False
-            symbols, sizes, which = symbols[keep], sizes[live] - 1, which[live]
+            s, which, inside = s[keep], which[keep], np.append(inside[: len(keep)][keep], [False, False])[: keep.sum() + 1]
         return out
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of the pre-tokens codes[start : start + size]."""
+        out = np.zeros(len(sizes), np.int64)
+        order = np.argsort(sizes, kind="stable")
+        total = np.cumsum(sizes[order])
         at = 0
-        while at < len(fresh):
-            part, total = [], 0
-            while at < len(fresh) and (not part or total + len(fresh[at]) <= BATCH_SYMBOLS):
-                part.append(fresh[at])
-                total += len(fresh[at])
-                at += 1
-            self.counts.update(zip(part, self._merge(part).tolist(), strict=True))
-
-    def _cut(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of characters that can merge, and the tokens of all other characters."""
-        text = MARK + text.replace(" ", MARK)
-        alone = 0
-        odd = set(text) - self.joins
-        if odd:
-            for c in odd:
-                alone += text.count(c) * (1 if c in self.known else len(c.encode()))
-            if len(odd) > 16:
-                text = text.translate(dict.fromkeys(map(ord, odd), "\0"))
-            else:
-                for c in odd:
-                    text = text.replace(c, "\0")
-        # a cut before each mark that follows another character
-        text = text.replace(MARK, "\0" + MARK)
-        text = text.replace(MARK + "\0" + MARK, MARK + MARK)
-        while MARK + "\0" + MARK in text:
-            text = text.replace(MARK + "\0" + MARK, MARK + MARK)
-        return [p for p in text.split("\0") if p], alone
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH_SYMBOLS, "right")))
+            mine = order[at:to]
+            n = sizes[mine]
+            index = np.arange(n.sum()) + np.repeat(starts[mine] - (np.cumsum(n) - n), n)
+            out[mine] = self.merge(self.code[codes[index]], n)
+            at = to
+        return out
+
+    def _counted(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token, those of LONGEST_KEPT characters at most through the store."""
+        p, inverse = power(len(codes) + 1)
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * p[: len(codes)], out=total[1:])
+        h = mix((total[starts + sizes] - total[starts]) * inverse[starts] + np.uint64(0x9D39247E33776D41))
+        out = np.zeros(len(starts), np.int64)
+        long = np.flatnonzero(sizes > LONGEST_KEPT)
+        out[long] = self._learn(codes, starts[long], sizes[long])
+        short = np.flatnonzero(sizes <= LONGEST_KEPT)
+        u, first, back = np.unique(h[short], return_index=True, return_inverse=True)
+        if len(self.hashes) + len(u) > KEPT:
+            self.hashes, self.counts = self.hashes[:0], self.counts[:0]
+        new = np.ones(len(u), bool)
+        if len(self.hashes):
+            new = ~_find(self.hashes, u)[1]
+        if new.any():
+            mine = short[first[new]]
+            found = self._learn(codes, starts[mine], sizes[mine])
+            place = np.searchsorted(self.hashes, u[new])
+            self.hashes, self.counts = np.insert(self.hashes, place, u[new]), np.insert(self.counts, place, found)
+        out[short] = self.counts[np.searchsorted(self.hashes, u)][back]
+        return out
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        cut = [self._cut(t) if t else ([], 0) for t in texts]
-        fresh = {p for parts, _ in cut for p in parts if p not in self.counts}
-        if fresh:
-            if len(self.counts) + len(fresh) > KEPT:
-                self.counts.clear()
-                fresh = {p for parts, _ in cut for p in parts}
-            self._learn(sorted(fresh, key=len))
-        return np.array([alone + sum(map(self.counts.__getitem__, parts)) for parts, alone in cut], np.int64)
+        """Tokens of each text: a mark before it, marks for its spaces."""
+        texts = [t or "" for t in texts]
+        if not texts:
+            return np.empty(0, np.int64)
+        mark = chr(MARK)
+        codes = np.frombuffer((mark + mark.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(codes == 32, np.uint32(MARK), codes)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        heads = np.cumsum(sizes) - sizes
+        joins = self.code[codes] >= 0
+        joins[heads[sizes == 1]] = False  # an empty text has no token
+        is_mark = codes == MARK
+        starts = joins.copy()
+        starts[1:] &= ~joins[:-1] | (is_mark[1:] & ~is_mark[:-1])
+        starts[heads] = joins[heads]
+        starts = np.flatnonzero(starts)
+        stop = ~joins
+        stop[starts] = True
+        stops = np.append(np.flatnonzero(stop), len(codes))
+        ends = stops[np.searchsorted(stops, starts, "right")]
+        total = np.append(0, np.cumsum(self.alone[codes], dtype=np.int64))
+        out = total[heads + sizes] - total[heads]
+        if len(starts):
+            each = np.append(0, np.cumsum(self._counted(codes, starts, ends - starts)))
+            at = np.searchsorted(starts, np.append(heads, len(codes)))
+            out += each[at[1:]] - each[at[:-1]]
+        return out
 
 
 @functools.lru_cache(2)
@@ -152,13 +245,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
         import public_tokenizers
 
         m = merger(path or public_tokenizers.path("piece_bpe_32k.model"))
-        for batch in batches:
-            sizes, counts = [], []
-            for part in slices([batch.select([1])]):
-                texts = part.column(0).to_pylist()
-                sizes += [len(t.encode()) if t else 0 for t in texts]
-                counts.append(m.count(texts))
-            n = np.concatenate(counts) if counts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for batch in slices(batches):
+            n = m.count(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(raw(batch.column(1))[1])), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

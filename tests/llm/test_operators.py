@@ -100,11 +100,13 @@ def test_token_counts_are_the_library_s(spark, rows):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(2)
     parts = ["a", "b", "e", "th", "ing", " ", "  ", "\n", "\t", "'", "1", "▁", "é", "中", "文", "́", "\0", "<s>", "</s>", "<0x0A>", "ﬁ", "１", "𝄞", "\xa0", "the", "\r\n"]
-    texts = [t for _, t in rows if len(t or "") < 150_000] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["ab" * 1500, "a" * 999, " " * 500]
+    texts = [t for _, t in rows] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["ab" * 1500, "a" * 999, " " * 500, "a" * 100_001, " " * 100_000, "=-" * 500, "abc" * 300, "中" * 3000]
+    texts += ["".join(rng.choices(x, k=n)) for x, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 200_000), ("ab", 50_000), ("aeinrst", 100_000), (["the", "ing", "er", "a", "tion", "s"], 60_000))]
+    texts += ["".join(rng.choices("etaoinshr", k=rng.randint(30, 200))) for _ in range(500)]
     got = {r.doc_id: r for r in token_counts.token_counts(make(spark, list(enumerate(texts))), limit=100).collect()}
     for i, t in enumerate(texts):
         n = len(sp.encode(t or ""))
-        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100), t
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100), (t or "")[:200]
     assert token_counts.token_counts(make(spark, [])).count() == 0
 
 
@@ -139,7 +141,8 @@ def test_near_duplicates(spark, rows):
         for _ in range(rng.randint(0, 7)):
             t[rng.randrange(80)] = f"e{rng.randrange(1000)}"
         copies.append((100 + k, " ".join(t)))
-    rows = [r for r in rows if r[0] not in (11,)] + copies
+    rows = rows + copies + [(300, rows[13][1] + " end")]  # of the longest text too
+    assert len(rows[13][1].split()) == 30_000
     got = minhash.near_duplicates(make(spark, rows), width=3, similarity=0.85).collect()
     sets, of = exact_components(rows, 3, 85, 100)
     assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((i, len(s)) for i, x in sets.items() for s in x)
@@ -191,18 +194,28 @@ def test_fingerprints(spark, rows):
     assert fingerprint.fingerprints(make(spark, [])).count() == 0
 
 
-def test_edited_texts(spark, rows):
-    rows = [r for r in rows if r[0] is not None and r[0] != 2] + [(2, "Copy of a copy"), (0, "copy  OF a copy")]
-    got = {r.doc_id: r for r in fingerprint.compared(make(spark, rows)).collect()}
-    order = sorted(rows, key=lambda r: -r[0])
+def check_edited(spark, rows):
+    def h(t):
+        return spark.sql("select xxhash64(:t) as h", args={"t": t}).first().h
+
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), h(r[1]) if r[0] is None else 0, r[1].encode()))
+    expected = Counter()
     for k, (i, t) in enumerate(order):
-        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        after = order[(k + 1) % len(order)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.near_edited, r.near_next) == (float(canon(t) == canon(edited)), float(canon(t) == canon(after)))
-        assert (r.fingerprint == r.edited_fingerprint) == (canon(t) == canon(edited))
+        expected[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), float(canon(t) == canon(edited)), float(canon(t) == canon(after))] += 1
+    got = fingerprint.compared(make(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got) == expected
+    assert all((r.fingerprint == r.edited_fingerprint) == (r.near_edited == 1) for r in got)
+
+
+def test_edited_texts(spark, rows):
+    """Null and repeated doc_ids too."""
+    check_edited(spark, [*rows, (2, "Copy of a copy"), (0, "copy  OF a copy"), (None, "null id"), (None, "NULL  id")])
+    check_edited(spark, [(3, "abc def")])
+    check_edited(spark, [(None, f"t{i % 5}") for i in range(12)])
+    check_edited(spark, [(i % 3, f"{'t' * (i % 7)} {i}") for i in range(40)])
     assert fingerprint.compared(make(spark, [])).count() == 0
 
 
@@ -331,8 +344,10 @@ def test_language_model_scores_by_definition():
     h, c, k = np.append(h, np.arange(1, 5).astype(np.uint64)), np.append(c, [1, 1, 0, 0]), np.append(k, np.array([300, 5, 300, 6], np.uint16))
     order = rng.integers(0, len(h), 300)
     offsets = np.array([0, 120, 121, 300])
-    got = language_model.token_logs(v, language_model.Norms(outer), inner, h[order], k[order], offsets, c[order])
     symbol, choice, context = v.symbols(h, k)
+    got = language_model.token_logs(v, language_model.Outer(outer), inner, symbol[order], choice[order], context[order], c[order], offsets)
+    table = np.sort(h)
+    assert (table[language_model._places(table, h[order])] == h[order]).all()
 
     def chances(p, low, high, one, two):
         x = (p[2][low:high].astype(float) @ (p[0][one] + p[1][two]).astype(float)) + p[3][low:high]
@@ -363,7 +378,7 @@ def test_language_model_scores_by_definition():
     ends = np.array([0, len(tokens)])
     start, params = language_model.initial(v), language_model.initial(v)
     language_model.train(v, *params, tuple([np.zeros_like(p) for p in g] for g in params), h[tokens], k[tokens], ends, rng)
-    mean = lambda p: language_model.token_logs(v, language_model.Norms(p[0]), p[1], h[tokens], k[tokens], ends, c[tokens])[1::2].mean()
+    mean = lambda p: language_model.token_logs(v, language_model.Outer(p[0]), p[1], symbol[tokens], choice[tokens], context[tokens], c[tokens], ends)[1::2].mean()
     assert mean(params) > mean(start) + 0.5
     assert language_model.floor(100_000_000) == 200 and language_model.floor(0) == 2
 
@@ -386,13 +401,93 @@ def test_decontamination(spark, rows):
     assert decontamination.decontaminate(make(spark, rows), bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def near_by_definition(docs, items, width, span):
+    """Documents and items of which some word of a window has all the window's words within `span` of it."""
+    out = set()
+    for i, t in docs:
+        a = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        for item, text in items:
+            b = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+            for at in range(max(1, len(b) - width + 1) if b and item is not None else 0):
+                need = Counter(b[at : at + width])
+                count = {w: sum(x == w for x in a) for w in need}
+                rare = [w for w in need if count[w] == min(count.values())]
+                for p, w in enumerate(a):
+                    if w in need and not need - Counter(a[max(0, p - span) : p + span + 1]):
+                        out.add((i, str(item), p, w in rare))
+    return out
+
+
 def test_proximity(spark):
-    docs = make(spark, [(1, "gamma x alpha y beta"), (2, "alpha beta"), (3, "alpha beta" + " z" * 50 + " gamma"), (4, None)])
-    bench = spark.createDataFrame([(6, "alpha beta gamma")], "item_id bigint, text string")
-    assert {r.doc_id for r in decontamination.proximity(docs, bench, span=5).collect()} == {1}
+    docs = [(1, "gamma x alpha y beta"), (2, "alpha beta"), (3, "alpha beta" + " z" * 50 + " gamma"), (4, None), (None, "beta gamma alpha")]
+    bench = spark.createDataFrame([(6, "alpha beta gamma", "x")], "item_id bigint, text string, hits string")
+    assert {r.doc_id for r in decontamination.proximity(make(spark, docs), bench, span=5).collect()} == {1, None}
+    assert decontamination.proximity(make(spark, []), bench).count() == 0 and decontamination.proximity(make(spark, docs), bench.limit(0)).count() == 0
+    rng = random.Random(4)
+    items = [(k, " ".join(rng.choices("abcdef", k=rng.randint(1, 7)))) for k in range(8)]
+    for doc in ([(1, " ".join(rng.choices("abcdefghij", k=200)))], [(2, " ".join(rng.choices("abcdefgh", k=30)))]):  # one document is one shard
+        expected = near_by_definition(doc, items, 4, 3)
+        got = {tuple(r) for r in decontamination.proximity(make(spark, doc), spark.createDataFrame(items, "item_id bigint, text string"), 4, 3, block_terms=60).collect()}
+        assert got <= {x[:3] for x in expected} and {x[:2] for x in got} <= {x[:2] for x in expected}
+        assert all(any(g[:2] == (i, k) for g in got) for i, k, p, rarest in expected if rarest)
 
 
 # 8
+def subwords_by_definition(word):
+    """Table places of a word's n-grams of 3 to 5 bytes, with a mark on both sides, and of the word."""
+    over, odd = 1 << 64, 0x9E3779B97F4A7C15
+    marked = [1, *word.encode(), 2]
+
+    def place(part, salt):
+        h = (sum((b + 1) * pow(odd, i, over) for i, b in enumerate(part)) + salt) % over
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * times % over
+        return (h ^ h >> 31) % toxicity.BUCKETS
+
+    return [place(marked[i : i + n], n) for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [place(marked, 99)]
+
+
+def toxic_words(text):
+    return re.findall(r"[^\x00-\x23\x25-\x26\x28-\x29\x2B-\x2F\x3A-\x3F\x41-\x60\x7B-\x7F]+", lower(text))
+
+
+def test_toxicity_scores_by_definition(spark):
+    texts = ["a Bad b@d wörd", "", None, "!!", "x", "it's $uch a *long* word " * 30, "A" * 40]
+    numbers = np.random.default_rng(2).normal(0, 3, toxicity.BUCKETS).astype(np.float32)
+    got = {r.doc_id: r.score for r in toxicity.score(make(spark, list(enumerate(texts))), (numbers, -0.4)).collect()}
+    for i, t in enumerate(texts):
+        means = [np.mean([numbers[p] for p in subwords_by_definition(w)]) for w in toxic_words(t)]
+        assert abs(got[i] - 1 / (1 + math.exp(0.4 - (float(np.mean(means)) if means else 0)))) < 1e-5
+
+
+def test_toxicity_gradients():
+    """The loss against its definition, the gradients against its finite differences."""
+    texts, labels, weights = ["ab bad ab", "", "nice one", "b@d"], np.array([1, 0, 0, 1]), np.array([1.0, 2.0, 1.0, 3.0])
+    rng = np.random.default_rng(5)
+    params = [rng.normal(0, 1, (toxicity.BUCKETS, 3)), rng.normal(0, 1, (3, 2)), rng.normal(0, 1, 2)]
+
+    def loss(table, soft, bias):
+        total = 0
+        for t, y, w in zip(texts, labels, weights / weights.sum(), strict=True):
+            vectors = [np.mean([table[p] for p in subwords_by_definition(x)], axis=0) for x in toxic_words(t)]
+            z = (np.mean(vectors, axis=0) if vectors else np.zeros(3)) @ soft + bias
+            total -= w * (z[y] - np.log(np.exp(z).sum()))
+        return total
+
+    found, rows, *grads = toxicity.Batch(texts, labels, weights).gradients(*params)
+    assert abs(found - loss(*params)) < 1e-6
+    assert set(rows.tolist()) == {p for t in texts for w in toxic_words(t) for p in subwords_by_definition(w)}
+    for i, grad in enumerate(grads):
+        for at in list(np.ndindex(grad.shape))[:40]:
+            where = (rows[at[0]], at[1]) if i == 0 else at
+            ends = []
+            for step in (1e-5, -1e-5):
+                p = [x.copy() for x in params]
+                p[i][where] += step
+                ends.append(loss(*p))
+            assert abs((ends[0] - ends[1]) / 2e-5 - grad[at]) < 1e-6
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     syllables = ["ta", "re", "mi", "so", "lu", "ke", "na", "vo"]
@@ -416,6 +511,8 @@ def test_toxicity(spark):
     assert sum(r.predicted == (r.doc_id % 3 == 0) for r in test) >= 0.95 * len(test)
     unseen = toxicity.score(make(spark, [(1, " ".join([word() for _ in range(20)] + ["scumbagz", "worthles", "patheticc"])), (2, " ".join(word() for _ in range(23)))]), model).collect()
     assert {r.doc_id: r.predicted for r in unseen} == {1: 1, 2: 0}
+    few = toxicity.train(docs, truth.where(~held), max_bytes=20_000)  # about 55 texts of each label
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, few).collect())
     none = toxicity.train(docs, truth.limit(0))
     assert toxicity.score(docs, none).where("predicted <> 0").count() == 0
     assert toxicity.score(make(spark, []), model).count() == 0
@@ -424,6 +521,8 @@ def test_toxicity(spark):
 # 9
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b/\r\nX: y", ""), (4, "u", None), (5, "u", "x" * 300_000), (6, "u", "a\r\n\r\nWARC/1.1\r\n"), (None, "u", "only"), (7, "u", "same"), (7, "u", "same"), (8, "u", "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\n")]
+    hostile = [f"http://a/{c}{f}" for c in ("\u2028", "\u2029", "\x85", "\n", "\r", "\r\n", "\x0b", "\x00") for f in ("WARC-Refers-To: <urn:page:99>", "WARC-Payload-Digest: sha1:AAAA", "\r\n\r\nWARC-Type: revisit")]
+    pages += [(20 + i, u, f"p{i}") for i, u in enumerate(hostile)] + [(100 + i, "u", "hot " * 500) for i in range(60)] + [(-5, "u", "minus"), (-9, "u", "minus")]
     df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id bigint, url string, html string, digest string, payload string")
     path = f"file://{tmp_path}/archive"
     for least, to in ((0, path), (5, path + "5")):
@@ -440,13 +539,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert Counter((r.page_id, bytes(r.payload)) for r in back) == Counter((i, (h or "").encode()) for i, _, h in pages)
     for r in back:
         head, body = bytes(r.record).split(b"\r\n\r\n", 1)
-        size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
-        assert head.startswith(b"WARC/1.1\r\n") and body[size:] == b"\r\n\r\n" and body[:size] in (b"", bytes(r.payload))
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        size = int(fields[b"Content-Length"])
+        assert head.startswith(b"WARC/1.1\r\n") and body[size:] == b"\r\n\r\n"
+        http, payload = body[:size].split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and payload == (bytes(r.payload) if fields[b"WARC-Type"] == b"response" else b"")
+        assert {b"WARC-Record-ID", b"WARC-Date", b"WARC-Target-URI", b"Content-Type"} <= set(fields) and not re.search(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]", fields[b"WARC-Target-URI"].decode())
     stored = spark.read.parquet(f"{path}/payloads")
     assert stored.count() == len({(h or "") for _, _, h in pages})
     warc.export(spark, path, f"file://{tmp_path}/out")
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert raw.count(b"\r\nContent-Type: text/html") == len(pages)
+    assert raw.count(b"WARC/1.1\r\nWARC-Type: ") == len(pages)
     stored.limit(1).select(F.lit("0" * 64).alias("digest"), "payload").write.mode("append").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="damaged payload"):
         warc.read(spark, path)[1].collect()
@@ -455,6 +558,36 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 # 10
+def test_language_vectors_by_definition():
+    """Bound and bundled letter by letter: of each word, with an edge on both sides, every three neighbours."""
+    texts = ["Abc a'é", None, "", "x  ÉCole\nab", "7 ?"]
+    got, letters = language_id.vectors(texts, 7)
+    edge = np.ones(language_id.DIMENSIONS, int)
+    for i, t in enumerate(texts):
+        v = np.zeros(language_id.DIMENSIONS, int)
+        ws = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        for w in ws:
+            marked = [edge, *(language_id._vector(ord(c), 7).astype(int) for c in w), edge]
+            for x, y, z in zip(marked, marked[1:], marked[2:], strict=False):
+                v += np.roll(x, 2) * np.roll(y, 1) * z
+        assert (got[i] == v).all() and letters[i] == sum(map(len, ws))
+
+
+def test_language_by_definition(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abc " if i % 2 else "xyz a", k=40)), ["p", "q"][i % 2]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    v, _ = language_id.vectors([t for _, t, _ in rows], 7)
+    unit = lambda x: x / np.linalg.norm(x)
+    p = [unit(sum(x.astype(float) for x, r in zip(v, rows, strict=True) if r[2] == k)) for k in "pq"]
+    model = language_id.profiles(docs)
+    assert all(np.allclose(unit(model[k]), x) for k, x in zip("pq", p, strict=True))
+    centre = sum(p) / 2
+    for r in language_id.identify(docs, model).collect():
+        cosine = [unit(unit(v[r.doc_id].astype(float)) - centre) @ unit(x - centre) for x in p]
+        assert r.lang_pred == "pq"[int(np.argmax(cosine))] and abs(r.score - max(0, max(cosine))) < 1e-5
+
+
 def test_language_id(spark):
     rng = random.Random(10)
     kinds = {"aa": ["the", "ing", "tion", "and"], "bb": ["der", "sch", "ung", "ich"], "cc": ["que", "eau", "elle", "ré"]}
