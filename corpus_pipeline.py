@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import decontamination, language_id, line_dedup, minhash, packing
+from refrain.llm import decontamination, language_id, line_dedup, minhash, packing, token_counts
 from refrain.llm._shared import stored
 from refrain.llm.queries import table
 
@@ -14,7 +14,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of runs of lines; a text all of whose lines were such copies goes."""
+    """Deletes later copies of runs of lines; a text all of whose lines were such copies goes. Texts without lines stay."""
     found = line_dedup.dedup_lines(docs).where("n_deleted = 0 or n_deleted < n_lines")
     return _resized(found, docs).select(*docs.columns)
 
@@ -24,20 +24,21 @@ def _resized(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that with the smallest doc_id."""
+    """Keeps one document of each group, that with the smallest doc_id; rows that repeat its doc_id stay with it, as do rows
+    without a doc_id, which link with nothing."""
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs.doc_id == kept["__id"], "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of a benchmark item."""
+    """Rejects documents that hold a window of a benchmark item. Null texts, items without text and an empty benchmark hold none."""
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in batches of the token budget."""
-    return packing.pack(docs)
+    """Pieces of the documents, cut and batched by their exact numbers of tokens. Null and empty texts have no piece."""
+    return packing.pack(token_counts.token_counts(docs), F.col("n_tokens"))
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_duplicates", near_copies), ("decontamination", benchmark), ("packing", packed)]
