@@ -40,6 +40,40 @@ def _find(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == key
 
 
+class Table:
+    """Places of different numbers that aren't negative, by hashing into a table half empty at least, neighbours next."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.index = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        left, place = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = self.keys[place] < 0
+            self.keys[place[free]], self.index[place[free]] = keys[left[free]], left[free]
+            rest = self.keys[place] != keys[left]
+            left, place = left[rest], (place[rest] + 1) & (len(self.keys) - 1)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is there."""
+        place = self._place(key)
+        there = self.keys[place]
+        hit = there == key
+        out = self.index[place]
+        more = np.flatnonzero((there >= 0) & ~hit)
+        place = place[more]
+        while len(more):
+            place = (place + 1) & (len(self.keys) - 1)
+            there = self.keys[place]
+            same = there == key[more]
+            out[more[same]], hit[more[same]] = self.index[place[same]], True
+            rest = (there >= 0) & ~same
+            more, place = more[rest], place[rest]
+        return out, hit
+
+
 def _lowest(keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the lowest rank of each."""
     order = np.lexsort((ranks, keys))
@@ -69,7 +103,7 @@ class Merger:
         n = self.n = len(number)
         pairs = [(number[p[:k]], number[p[k:]], rank[p], number[p]) for p in scores for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
         left, right, ranks, made = np.array(sorted(pairs), np.int64).T.copy()
-        self.keys, self.ranks, self.made = left * n + right, ranks, made
+        self.pairs, self.ranks, self.made = Table(left * n + right), ranks, made
         text = {i: p for p, i in number.items()}
         before, after, across = [], [], set()
         for x, y, r in zip(left.tolist(), right.tolist(), ranks.tolist(), strict=True):
@@ -81,10 +115,12 @@ class Merger:
             across.update(u * n + w for u in ends for w in begins)
         #: Of (symbol, next symbol): the lowest rank by which a pair comes about whose left ends with the first, or whose right
         #: begins with the second.
-        self.before, self.before_rank = _lowest(*np.array(before, np.int64).T)
-        self.after, self.after_rank = _lowest(*np.array(after, np.int64).T)
+        keys, self.before_rank = _lowest(*np.array(before, np.int64).T)
+        self.before = Table(keys)
+        keys, self.after_rank = _lowest(*np.array(after, np.int64).T)
+        self.after = Table(keys)
         #: (symbol, next symbol) that some pair joins.
-        self.across = np.sort(np.fromiter(across, np.int64, len(across)))
+        self.across = Table(np.fromiter(across, np.int64, len(across)))
         self.bytes = np.ones(n, np.int64)
         for p, i in number.items():
             if p not in scores:
@@ -99,9 +135,9 @@ class Merger:
         self.alone[self.code >= 0] = 0
         self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def _bound(self, keys: np.ndarray, ranks: np.ndarray, left: np.ndarray, right: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    def _bound(self, table: Table, ranks: np.ndarray, left: np.ndarray, right: np.ndarray, open_: np.ndarray) -> np.ndarray:
         """The lowest rank of a pair by a table; none where nothing stands there."""
-        at, hit = _find(keys, left * self.n + right)
+        at, hit = table.find(left * self.n + right)
         return np.where(hit & open_, ranks[at], _NONE)
 
     def _certain(self, s: np.ndarray, inside: np.ndarray, rank: np.ndarray, made: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -134,11 +170,11 @@ class Merger:
         s, which = symbols.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
         inside = np.append(which[1:] == which[:-1], [False, False])  # a symbol and the next are of one sequence
         while len(s):
-            inside[:-2] &= _find(self.across, s[:-1] * self.n + s[1:])[1]
+            inside[:-2] &= self.across.find(s[:-1] * self.n + s[1:])[1]
             rank = np.full(len(s), _NONE, np.int64)
             made = np.zeros(len(s), np.int64)
             at = np.flatnonzero(inside)
-            spot, hit = _find(self.keys, s[at] * self.n + s[at + 1])
+            spot, hit = self.pairs.find(s[at] * self.n + s[at + 1])
             rank[at[hit]], made[at[hit]] = self.ranks[spot[hit]], self.made[spot[hit]]
             starts = np.append(0, np.flatnonzero(~inside[: len(s) - 1]) + 1)
             own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(s))))
