@@ -114,6 +114,12 @@ def words(column: pa.Array, table: np.ndarray = NOT_SPACE) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets))
 
 
+def word_counts(column: pa.Array, table: np.ndarray = NOT_SPACE) -> np.ndarray:
+    """The number of words() of each text, SLICE_BYTES of text at a time."""
+    parts = [words(b.column(0), table).counts for b in slices([pa.RecordBatch.from_arrays([column], names=["text"])])]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def shingles(h: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted hashes of `width` consecutive words of each text, and their offsets. A text with fewer words,
     but not none, has one: its whole sequence."""

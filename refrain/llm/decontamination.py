@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import ALNUM, slices, words
+from ._arrays import ALNUM, slices, word_counts, words
 from ._shared import stored
 
 #: Window terms of one block of the benchmark: 8 bytes each on the driver and in every worker.
@@ -198,6 +198,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             yield Shard(*(np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in enumerate(_PARTS.values())))
 
 
+def _n_words(texts: pa.Array) -> pa.Array:
+    return pa.array(word_counts(texts, ALNUM), pa.int64())
+
+
 def _blocks(benchmark: DataFrame, width: int, limit: int) -> Iterator[Queries]:
     """The benchmark in blocks of whole items; an item beyond the limit is a block of its own."""
     items, total = [], 0
@@ -261,7 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
         found = F.broadcast(found)
     k1, k2 = _ids()
     met = docs.withColumns({"__a": k1, "__b": k2}).join(found, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
+    n_words = F.arrow_udf(_n_words, "bigint")("text")
     none = {c: F.coalesce(c, F.array().cast(f"array<{t}>")) for c, t in (("hits", "int"), ("items", "string"))}
     return met.select(*docs.columns, n_words.alias("n_words"), none["hits"].alias("hits"), none["items"].alias("items"))
 

@@ -401,6 +401,26 @@ def test_decontamination(spark, rows):
     assert decontamination.decontaminate(make(spark, rows), bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_words_are_counted_in_slices_of_arrays(spark, rows):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from refrain.llm._arrays import ALNUM, word_counts
+
+    texts = [t for _, t in rows]
+    assert word_counts(pa.array(texts), ALNUM).tolist() == [x[0] for x in decontamination.brute_force(texts, [], 10)]
+    assert not len(word_counts(pa.array([], pa.string())))
+    column = pa.array(["a bc, d " * 1000] * 4000)  # 32 MB
+    tracemalloc.start()
+    assert set(word_counts(column, ALNUM).tolist()) == {3000}
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+    found = decontamination.decontaminate(make(spark, rows), spark.createDataFrame(ITEMS, "item_id bigint, text string"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan(found) and "ArrowEvalPython" in plan(found) and "ArrowEvalPython" not in plan(found.select("hits"))
+
+
 def near_by_definition(docs, items, width, span):
     """Documents and items of which some word of a window has all the window's words within `span` of it."""
     out = set()
