@@ -42,8 +42,8 @@ BATCH, STEPS, POOL = 8192, 16, 256
 CHUNKS = 64
 END = np.uint64(0xE4D0F7E47B1F00D5)
 #: Distinct words of a text block counted before they are merged; bytes of counts that meet in one task; numbers in one
-#: product or sum of the softmaxes; bytes of text scored at once.
-_MERGE, _TOGETHER, _PRODUCT, _SCORED_BYTES = 1 << 20, 16 << 20, 1 << 18, 2 << 20
+#: product or sum of the first softmax, and of the second, in one place that stays in the cache; bytes of text scored at once.
+_MERGE, _TOGETHER, _PRODUCT, _NORMED, _SCORED_BYTES = 1 << 20, 16 << 20, 1 << 18, 1 << 16, 2 << 20
 
 
 def _tokens(column: pa.Array, kinds: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,11 +250,15 @@ def _scatter(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = _order(index)
     ordered = index[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.add.reduceat(grad[order], first, axis=0)
+    return ordered[first], np.add.reduceat(grad.take(order, axis=0), first, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """x is overwritten."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def gradients(params: list[np.ndarray], y: np.ndarray, a: np.ndarray, b: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -263,16 +267,20 @@ def gradients(params: list[np.ndarray], y: np.ndarray, a: np.ndarray, b: np.ndar
     expected number of times it is drawn. noise: one list for all tokens, or one for each. log_noise: by choice."""
     near, far, out, bias = params
     bias = bias - log_noise
-    q, r = near[a] + far[b], out[y]
+    q, r = near.take(a, axis=0), out.take(y, axis=0)
+    q += far.take(b, axis=0)
     scale = np.float32(1 / len(y))
-    gp = ((_sigmoid(np.einsum("ij,ij->i", q, r) + bias[y]) - 1) * scale).astype(np.float32)
-    rn = out[noise]
+    gp = ((_sigmoid(np.einsum("ij,ij->i", q, r) + bias[y]) - 1) * scale).astype(np.float32, copy=False)
+    rn = out.take(noise, axis=0)
     if noise.ndim == 1:
-        gn = (_sigmoid(q @ rn.T + bias[noise]) * scale).astype(np.float32)
+        gn = q @ rn.T
+        gn += bias[noise]
+        gn = _sigmoid(gn)
+        gn *= scale
         gq = gp[:, None] * r + gn @ rn
         of_noise, b_noise = gn.T @ q, gn.sum(axis=0)
     else:
-        gn = (_sigmoid(np.einsum("ij,ikj->ik", q, rn) + bias[noise]) * scale).astype(np.float32)
+        gn = (_sigmoid(np.einsum("ij,ikj->ik", q, rn) + bias[noise]) * scale).astype(np.float32, copy=False)
         gq = gp[:, None] * r + np.einsum("ik,ikj->ij", gn, rn)
         of_noise, b_noise = (gn[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]), gn.ravel()
     both = np.empty((len(y) + noise.size, q.shape[1] + 1), q.dtype)
@@ -285,8 +293,12 @@ def gradients(params: list[np.ndarray], y: np.ndarray, a: np.ndarray, b: np.ndar
 def _descend(params: list[np.ndarray], past: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
     """A step of Adagrad."""
     for p, s, (rows, grad) in zip(params, past, found, strict=True):
-        s[rows] += grad * grad
-        p[rows] -= rate * grad / np.sqrt(s[rows] + 1e-8)
+        step = s[rows]
+        step += grad * grad
+        s[rows] = step
+        step += 1e-8
+        np.sqrt(step, out=step)
+        p[rows] -= np.divide(rate * grad, step, out=step)
 
 
 def train(v: Vocabulary, outer: list, inner: list, past: tuple[list, list], h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, rng: np.random.Generator) -> None:
@@ -390,6 +402,10 @@ def inner_logs(v: Vocabulary, params: list[np.ndarray], choice: np.ndarray, s: n
     found = np.zeros(len(s))
     mine = np.flatnonzero(choice >= 0)
     mine = mine[_order(s[mine])]
+    q = np.ones((len(mine), near.shape[1] + 1), near.dtype)  # the last column meets the biases
+    np.add(near.take(one[mine], axis=0), far.take(two[mine], axis=0), out=q[:, :-1])
+    w = np.concatenate((out, bias[:, None]), axis=1).T
+    room = np.empty(max(_NORMED, int(np.diff(v.first).max())), near.dtype)
     ordered = s[mine]
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(mine) else mine
     kinds = ordered[starts]
@@ -397,12 +413,14 @@ def inner_logs(v: Vocabulary, params: list[np.ndarray], choice: np.ndarray, s: n
         low, high = v.first[k - FREQUENT], v.first[k - FREQUENT + 1]
         if high - low == 1:
             continue
-        step = max(1, _PRODUCT // (high - low))
+        step, each = max(1, _NORMED // (high - low)), np.ones(high - low, near.dtype)
         for i in range(at, to, step):
-            part = mine[i : min(to, i + step)]
-            x = (near[one[part]] + far[two[part]]) @ out[low:high].T + bias[low:high]
+            j = min(to, i + step)
+            part = mine[i:j]
+            x = np.matmul(q[i:j], w[:, low:high], out=room[: (j - i) * (high - low)].reshape(j - i, high - low))
             own = x[np.arange(len(part)), choice[part] - low]
-            found[part] = own - _log_sums(x)
+            total = np.exp(x, out=x) @ each
+            found[part] = own - (np.log(total) if np.isfinite(total).all() and total.all() else _log_sums(q[i:j] @ w[:, low:high]))
     return found
 
 

@@ -383,6 +383,31 @@ def test_language_model_scores_by_definition():
     assert language_model.floor(100_000_000) == 200 and language_model.floor(0) == 2
 
 
+@pytest.mark.parametrize("scale", [1, 300])  # exp() of the greater scores is beyond 32 bits
+def test_language_model_normalises_classes_in_a_small_place(scale):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(3)
+    first = np.array([0, 3000, 3001, 3500])
+    near, far, out = (rng.normal(0, 1, (n, 8)).astype(np.float32) for n in (900, 900, 3500))
+    params = [near * np.float32(scale), far, out, rng.normal(0, 1, 3500).astype(np.float32)]
+    s = rng.integers(0, 4, 2000)
+    choice = np.where(s < 3, rng.integers(first[np.minimum(s, 2)], first[np.minimum(s, 2) + 1]), -1)
+    s = np.where(s < 3, s + language_model.FREQUENT, 5)
+    one, two = rng.integers(0, 900, (2, 2000))
+    tracemalloc.start()
+    got = language_model.inner_logs(SimpleNamespace(first=first), params, choice, s, one, two)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scale > 1 or peak < 1 << 20
+    for i in range(0, 2000, 7):
+        low, high = (first[s[i] - language_model.FREQUENT + k] for k in (0, 1)) if choice[i] >= 0 else (0, 1)
+        x = (params[0][one[i]].astype(float) + far[two[i]]) @ out[low:high].T.astype(float) + params[3][low:high]
+        expected = x[choice[i] - low] - x.max() - np.log(np.exp(x - x.max()).sum()) if choice[i] >= 0 else 0
+        assert got[i] == pytest.approx(expected, abs=1e-3 * scale)
+
+
 # 7
 ITEMS = [(1, "Alpha beta gamma, delta"), (2, "beta GAMMA"), (3, None), (4, "..."), (None, "alpha beta"), (5, "the the the the"), (6, "alpha beta gamma"), (6, "alpha beta gamma")]
 
