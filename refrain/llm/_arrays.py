@@ -1,6 +1,7 @@
 """Words and their hashes as numpy arrays over many texts at once."""
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,6 +73,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             at = to
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same batches; after a task's last, its memory is released, as Spark keeps idle workers while later stages run."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return out
+
+
 @dataclass
 class Words:
     data: np.ndarray  # lower-cased bytes

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import ALNUM, slices, word_counts, words
+from ._arrays import ALNUM, freed, slices, word_counts, words
 from ._shared import stored
 
 #: Window terms of one block of the benchmark: 8 bytes each on the driver and in every worker.
@@ -185,7 +185,7 @@ def index(docs: DataFrame) -> DataFrame:
             shard = Shard.of(batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([getattr(shard, n).astype(t).tobytes()], pa.binary()) for n, t in _PARTS.items()], names=list(_PARTS))
 
-    return stored(docs.select(*_ids(), "text").mapInArrow(run, ", ".join(f"{n} binary" for n in _PARTS)), "index")
+    return stored(docs.select(*_ids(), "text").mapInArrow(freed(run), ", ".join(f"{n} binary" for n in _PARTS)), "index")
 
 
 def _ids() -> list:
@@ -239,7 +239,7 @@ def _matches(shards: DataFrame, q: Queries) -> DataFrame:
             places = [np.flatnonzero(hit[shard.offsets[d] : shard.offsets[d + 1]]).astype(np.int32) for d in docs]
             yield pa.RecordBatch.from_arrays([pa.array(shard.k1[docs]), pa.array(shard.k2[docs]), pa.array(places, pa.list_(pa.int32())), pa.array([sorted(per[d]) for d in docs], pa.list_(pa.string()))], schema=_FOUND)
 
-    out = stored(shards.mapInArrow(run, "k1 bigint, k2 bigint, hits array<int>, items array<string>"), "matches")
+    out = stored(shards.mapInArrow(freed(run), "k1 bigint, k2 bigint, hits array<int>, items array<string>"), "matches")
     sent.unpersist()
     return out
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import slices
+from ._arrays import freed, slices
 
 DIMENSIONS, N = 1024, 3
 UNKNOWN = "und"
@@ -111,7 +111,7 @@ def profiles(labelled: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7) ->
         v = sum(np.frombuffer(x, np.float64) for x in table.column("v").to_pylist())
         return pa.table({"lang": table.column("lang").slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
 
-    rows = chosen.select("text", "lang").mapInArrow(run, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()
+    rows = chosen.select("text", "lang").mapInArrow(freed(run), "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()
     return {r.lang: np.frombuffer(r.v, np.float64) for r in sorted(rows, key=lambda r: r.lang)}
 
 
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 7)
             cols = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "in_none": pa.array(none)}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def held_out(doc_id: object, parts: int, remainder: int) -> bool:

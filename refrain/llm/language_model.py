@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import mix, slices, words
+from ._arrays import freed, mix, slices, words
 from ._shared import partitions, stored
 
 FREQUENT, SIZE, NOISE, RATE = 256, 16, 64, 0.05
@@ -510,7 +510,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"), block.alias("block"))
     # train is a column of its own: the scan below prunes the rest
     dealt = base.select("text", "block", (~F.col("held_out")).alias("train")).repartition(pieces, "block")
-    counted = stored(dealt.mapInArrow(_count(pieces), _COUNTED_SQL), "counted")
+    counted = stored(dealt.mapInArrow(freed(_count(pieces)), _COUNTED_SQL), "counted")
     size = counted.agg(F.coalesce(F.sum(F.octet_length("hashes") + F.octet_length("counts") + F.octet_length("kinds")), F.lit(0))).first()[0]
     groups = max(1, pieces // 8, min(pieces, -(-size // _TOGETHER)))
     totals = stored(counted.groupBy((F.col("part") % groups).alias("group")).applyInArrow(_total, _COUNTED_SQL), "totals")
@@ -518,7 +518,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     least = floor(sum(int(c[0]) for _, c, _ in sums))
     above = [_read(r) for r in totals.where("block = -2").mapInArrow(_above(least), _COUNTED_SQL).collect()]
     v = Vocabulary(tops, above, sums)
-    learned = base.where("not held_out").select("text").mapInArrow(_learn(v), _PARAMS_SQL)
+    learned = base.where("not held_out").select("text").mapInArrow(freed(_learn(v)), _PARAMS_SQL)
     rows = learned.repartition(max(1, int(pieces**0.5)), "chunk").mapInArrow(_average, _PARAMS_SQL).collect()  # one set
     outer, inner = initial(v)
     if rows:
@@ -527,4 +527,4 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     sent = totals.where("block >= 0").select("block", F.lit(False).alias("is_text"), "hashes", "counts", "kinds", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
     own = base.select("block", F.lit(True).alias("is_text"), *(F.lit(None).cast("binary").alias(c) for c in ("hashes", "counts", "kinds")), "doc_id", "text", "held_out")
     met = sent.unionByName(own).repartition(pieces, "block").sortWithinPartitions("block", "is_text")
-    return met.mapInArrow(_score(v, outer, inner), _SCORED_SQL)
+    return met.mapInArrow(freed(_score(v, outer, inner)), _SCORED_SQL)

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._arrays import freed
 from ._shared import checkpointed, stored
 
 _NULL_ID = -(1 << 63)
@@ -161,4 +162,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     met = docs.withColumns({"__a": F.coalesce("doc_id", F.lit(_NULL_ID)), "__b": F.xxhash64("text")})
     met = met.join(gone, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left").drop("__a", "__b", "__k1", "__k2")
     met = met.withColumns({"n_lines": F.greatest(F.size(_full_lines()), F.lit(0)).cast("long"), "n_deleted": F.greatest(F.size("__gone"), F.lit(0)).cast("long")})
-    return met.mapInArrow(_rebuild, met.drop("__gone").schema)
+    return met.mapInArrow(freed(_rebuild), met.drop("__gone").schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import mix, shingles, slices, words
+from ._arrays import freed, mix, shingles, slices, words
 from ._shared import stored
 from .components import components
 
@@ -220,7 +220,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
     one = docs.select("doc_id", "text").where("doc_id is not null")
     both = _seated(pairs.join(one.withColumnRenamed("text", "text_v"), "doc_id"), one.withColumnsRenamed({"doc_id": "centre", "text": "text_u"}))
-    return both.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"), "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
+    return both.select(F.col("centre").alias("u"), F.col("doc_id").alias("v"), "text_u", "text_v").mapInArrow(freed(run), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ba
     """
     num, den = round(100 * similarity), 100
     docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInArrow(_signatures(width, bands, rows, seed), _SIGNATURES), "signatures")
+    signed = stored(docs.mapInArrow(freed(_signatures(width, bands, rows, seed)), _SIGNATURES), "signatures")
     sets = ["d1", "d2", "n_shingles"]
     nodes = signed.where("n_shingles > 0 and doc_id is not null")
     classes = nodes.groupBy(*sets).agg(F.min("doc_id").alias("rep"))

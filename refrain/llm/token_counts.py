@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._arrays import mix, power, raw, slices
+from ._arrays import freed, mix, power, raw, slices
 
 MARK = 0x2581
 #: Counts of pre-tokens that a worker keeps, by 64-bit hashes; the store is emptied beyond that, so memory is bounded.
@@ -285,4 +285,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
             n = m.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(raw(batch.column(1))[1])), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

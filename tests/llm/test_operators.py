@@ -61,6 +61,26 @@ def test_words_are_those_of_the_pattern(rows):
     assert len(set(zip(flat, w.hashes().tolist(), strict=True))) == len(set(flat)) == len(set(w.hashes().tolist()))
 
 
+def test_a_task_gives_its_free_memory_back():
+    from refrain.llm._arrays import freed
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(batches):
+        yield from batches
+        parts = [np.ones(12_000) for _ in range(2000)]  # 192 MB in pieces that glibc keeps
+        last.append(np.ones(12_000))
+        yield len(parts)
+        del parts
+        held.append(resident())
+
+    last, held = [], []
+    assert list(freed(run)(iter([1, 2]))) == [1, 2, 2000]
+    assert resident() < held[0] - (100 << 20)
+
+
 # 1
 def test_boundaries_are_optimal():
     rng = random.Random(1)
