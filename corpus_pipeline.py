@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.llm import decontamination, language_id, line_dedup, minhash, packing, token_counts
-from refrain.llm._shared import stored
+from refrain.llm._shared import done, stored
 from refrain.llm.queries import table
 
 
@@ -51,5 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents. Null texts are rejected by the first."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        last, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        done(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ranges import range_bucket
-from ..sources.stages import fresh_path, shared_dir, stored
+from ..sources.stages import done, fresh_path, shared_dir, stored
 
-__all__ = ["checkpointed", "fresh_path", "partitions", "range_bucket", "stored"]
+__all__ = ["checkpointed", "done", "fresh_path", "partitions", "range_bucket", "stored"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

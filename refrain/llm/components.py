@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed
+from ._shared import done, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = met.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
@@ -26,14 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(u, v): component is the least node that it reaches.
 
     Loops (u = v) and edges with a null end are ignored; repeated edges and both directions count once; no edges give
-    no rows. Every round is checkpointed, and only a count and a checksum of the edges reach the driver. Rounds grow
+    no rows. Every round is stored, and only a count and a checksum of the edges reach the driver. Rounds grow
     with the logarithm of the number of nodes.
     """
-    edges = checkpointed(edges.where("u <> v").select("u", "v").distinct())
+    edges = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")
     seen = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.col("u") < F.col("v")).cast("int"))).first()
         if now[0] == 0 or tuple(now[:2]) == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+            out = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+            done(edges)
+            return out
         seen = tuple(now[:2])
-        edges = checkpointed(_star(_star(edges, large=True), large=False))
+        last, edges = edges, stored(_star(_star(edges, large=True), large=False), "edges")
+        done(last)

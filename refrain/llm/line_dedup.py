@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import freed
-from ._shared import checkpointed, stored
+from ._shared import done, stored
 
 _NULL_ID = -(1 << 63)
 #: Deleted lines, of 20 bytes each, up to which they are sent to all tasks; beyond that texts are shuffled to theirs.
@@ -86,21 +86,26 @@ def _deleted(docs: DataFrame, min_words: int) -> DataFrame:
     ahead = order.rowsBetween(0, size - 1)
     base = found.withColumn("long", F.sum("words").over(Window.partitionBy(*own)) >= min_words).where("long")
     base = stored(base.select(*own, "idx", "words", F.col("rank").alias("line"), "rank"), "lines")
+    done(several)
     now, h, classes = base.select(*own, "idx", "rank"), 1, base.select("rank").distinct().count()
     while h < size and classes:
         pairs = now.withColumn("next", F.coalesce(F.lead("rank", h).over(order), F.lit(-1))).withColumnRenamed("rank", "a")
         ranks = _ranked(pairs.select("a", "next").distinct(), "a", "next")
         count = ranks.count()
         if count == classes:
+            done(ranks)
             break
         classes, h = count, 2 * h
-        now = checkpointed(pairs.join(ranks, ["a", "next"]).select(*own, "idx", "rank"))
+        last, now = now, stored(pairs.join(ranks, ["a", "next"]).select(*own, "idx", "rank"), "ranked")
+        done(last, ranks)
     prefixes = base.withColumns({"lines": F.collect_list("line").over(ahead), "counts": F.collect_list("words").over(ahead), "total": F.sum("words").over(ahead)})
     prefixes = prefixes.where(F.col("total") >= min_words).drop("total")
     suffixes = stored(prefixes.join(now.withColumnRenamed("rank", "suffix"), [*own, "idx"]).select(*own, "idx", "lines", "counts", "suffix"), "suffixes")
+    done(now)
     # the earliest place of each suffix is looked up by place: a frequent suffix is spread as its places are
     first = suffixes.groupBy("suffix").agg(F.min(F.struct(*_KEY, "idx")).alias("first")).select("first.*", F.lit(True).alias("own"))
     entries = stored(suffixes.join(first, [*_KEY, "idx"], "left"), "entries")
+    done(suffixes)
     least = F.aggregate("counts", F.struct(F.lit(0).alias("total"), F.lit(0).alias("n")), lambda a, x: F.when(a["total"] < min_words, F.struct((a["total"] + x).alias("total"), (a["n"] + 1).alias("n"))).otherwise(a))["n"]
     array = entries.where("own").select(*_KEY, "idx", "lines", "suffix", F.xxhash64(F.slice("lines", F.lit(1), least)).alias("start"))
     runs = []
@@ -114,7 +119,9 @@ def _deleted(docs: DataFrame, min_words: int) -> DataFrame:
     words = F.aggregate(F.slice("counts", F.lit(1), F.col("run")), F.lit(0), lambda a, x: a + x)
     ends = met.where(words >= min_words).select(*_KEY, "idx", (F.col("idx") + F.col("run")).alias("end"))
     covered = base.select(*own, "idx").join(ends, [*_KEY, "idx"], "left").withColumn("end", F.max("end").over(order))
-    return covered.where("idx < end").select(*_KEY, "idx")
+    out = stored(covered.where("idx < end").select(*_KEY, "idx"), "deleted")
+    done(base, entries)
+    return out
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +161,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     if min_words < 1:
         raise ValueError("min_words must be positive")
     docs = docs.drop("n_lines", "n_deleted")
-    lines = stored(_deleted(docs, min_words), "deleted")
+    lines = _deleted(docs, min_words)
     gone = lines.groupBy(*_KEY).agg(F.collect_list("idx").alias("__gone"))  # one document's lines
     gone = gone.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
     if lines.count() <= BROADCAST_LINES:

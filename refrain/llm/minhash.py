@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import freed, mix, shingles, slices, words
-from ._shared import stored
+from ._shared import done, stored
 from .components import components
 
 BANDS, ROWS, SKETCH_LONGS = 42, 6, 4
@@ -239,34 +239,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ba
     classes = nodes.groupBy(*sets).agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
     rep = nodes.join(classes, (nodes.doc_id == classes.rep) & (nodes.d1 == classes.d1) & (nodes.d2 == classes.d2) & (nodes.n_shingles == classes.n_shingles), "left_semi").dropDuplicates(["doc_id", *sets])
+    rep = stored(rep, "banded")
+    wide, signed = signed, stored(signed.select("doc_id", *sets), "sets")  # the bands and sketches are needed of nodes only
+    done(wide)
     sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
-    node = rep.select("doc_id", "n_shingles", *sketch)
+    node = stored(rep.select("doc_id", "n_shingles", *sketch), "nodes")
     keys = rep.select("doc_id", F.explode("bands").alias("key"))
     met = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
+    done(rep)
     company = met.groupBy("doc_id").agg(F.sum("n").alias("company"))
     centres = met.join(company, "doc_id").groupBy("key").agg(F.max(F.struct("company", F.negative("doc_id").alias("minus"))).alias("m")).select("key", F.negative("m.minus").alias("centre"))
     around = met.join(centres, "key").where("doc_id <> centre").groupBy("centre", "doc_id").agg(F.max("n").alias("n"))
     around = stored(around.select("centre", "doc_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / NEAR)).cast("int").alias("seat")), "around")
+    done(met)
 
     used = min(bands * rows, 64 * SKETCH_LONGS)
     of_centre = node.withColumnsRenamed({c: "centre" if c == "doc_id" else f"c_{c}" for c in node.columns})
     stars = _seated(around.join(node, "doc_id"), of_centre).where(_close("c_", "", similarity, used)).select("centre", "seat", "doc_id")
     links = stored(_verified(stars, docs, width, num, den), "links")
-    label = stored(components(links), "labels")
+    label = components(links)
 
     # centres whose surroundings still hold several components
     placed = around.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     per = placed.groupBy("centre", "component").agg(F.count("*").alias("size"))
     mixed = per.groupBy("centre").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1").select("centre", F.col("m.component").alias("big"))
     several = stored(_seated(placed, mixed).join(node, "doc_id"), "several")
+    done(around, node)
     grouped = _cells(several, texts=False).groupBy("centre", "i", "j")
     possible = stored(grouped.applyInArrow(_possible(similarity, used), "centre bigint, doc_id bigint").distinct(), "possible")
     if not possible.isEmpty():
         texts = docs.select("doc_id", "text").where("doc_id is not null")
         left = several.drop(*sketch).join(possible, ["centre", "doc_id"])
         more = _cells(left, texts=True).join(texts, "doc_id").groupBy("centre", "i", "j").applyInArrow(_linked(width, num, den), "u bigint, v bigint")
-        links = stored(links.union(more).distinct(), "all_links")
-        label = stored(components(links), "all_labels")
+        few, links = links, stored(links.union(more).distinct(), "all_links")
+        done(few, label)
+        label = components(links)
+    done(links, several, possible)
 
     named = classes.join(label, classes.rep == label.node, "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", *sets).join(named, sets, "left")

@@ -4,10 +4,15 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +37,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
@@ -42,15 +47,42 @@ def _clean() -> None:
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/refrain-{uuid.uuid4().hex}/{tag}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
+@contextmanager
+def _without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is run inside has its shuffle files removed at its end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
+    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, lost executors lose nothing, and the
+    shuffle files it took are removed."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _without_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def done(*stages: DataFrame) -> None:
+    """Deletes what stored() wrote for these, which nothing may read any more. Other DataFrames are left alone."""
+    for df in stages:
+        path = _paths.pop(df, None)
+        if path is not None:
+            _delete(df.sparkSession, path.rsplit("/", 1)[0])
+            _made.pop(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

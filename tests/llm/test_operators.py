@@ -7,9 +7,11 @@ import itertools
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from refrain.llm import components, decontamination, fingerprint, language_id, language_model, line_dedup, minhash, packing, token_counts, toxicity, warc
 from refrain.llm._arrays import words
+from refrain.sources.stages import stored
 
 SCHEMA = "doc_id bigint, text string, n_words string, hits string, score string, k1 string, left string, fingerprint string"
 
@@ -191,6 +194,32 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+@pytest.mark.parametrize("run", [lambda d: minhash.near_duplicates(d, width=3, similarity=0.85), lambda d: line_dedup.dedup_lines(d, min_words=6), lambda d: components.components(d.selectExpr("doc_id AS u", "doc_id + 1 AS v"))])
+def test_only_stages_that_are_read_stay(spark, run):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    files = lambda: {str(p) for p in shared.rglob("part-*")}
+    texts = ["\n".join(f"w{(k + j if j == 9 * k % 80 else j) // 4} x{j}" for j in range(80)) for k in range(60)]
+    before = files()
+    out = run(make(spark, list(enumerate(texts))))
+    left = files() - before
+    assert left and left == {f.removeprefix("file://") for f in out.inputFiles()}
+    assert out.count() >= 60
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    places = [Path(d) for d in env.blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p for d in places for p in d.rglob("shuffle_*.data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = files(), spark.conf.get(key)
+    out = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 10
+    while files() - before and time.time() < end:  # they go in the background
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(key) == conf
+    assert sum(r["count"] for r in out.collect()) == 1000
+
+
 # 4
 def canon(t):
     t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())
