@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def vectors(songs: DataFrame, tokens: str = "lyrics_tokens", features: int = 1 << 16) -> DataFrame:
-    """Adds `vector`: hashed token counts times inverse document frequencies, of length 1. The hash needs no vocabulary."""
+    """Adds `vector`: hashed token counts times inverse document frequencies, of length 1. The hash needs no vocabulary.
+    songs is read for the frequencies and again with the result: give a stored stage."""
     counted = HashingTF(numFeatures=features, inputCol=tokens, outputCol="__tf").transform(songs)
     weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
     return Normalizer(inputCol="__idf", outputCol="vector").transform(weighted).drop("__tf", "__idf")
@@ -37,6 +38,7 @@ def similar(songs: DataFrame, row_id: int, n: int = 10, tokens: str = "lyrics_to
 
 
 def clusters(songs: DataFrame, k: int = 4, seed: int = 42, features: int = 1 << 10, **more) -> DataFrame:
-    """Adds `cluster`, of k-means over the vectors."""
+    """Adds `cluster`, of k-means over the vectors. songs is read several times: give a stored stage. The first centres are drawn
+    from each partition, so clusters depend on how the rows are dealt."""
     v = vectors(songs, features=features, **more)
     return KMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster").fit(v).transform(v).drop("vector")

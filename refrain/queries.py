@@ -472,7 +472,7 @@ def tfidf_similar(spark, sf_dir):
 
 @query
 def kmeans(spark, sf_dir):
-    return similarity.clusters(pipelines.clean_b(_songs_b(spark, sf_dir))).groupBy("cluster").agg(F.count("*").alias("n"))
+    return similarity.clusters(_cleaned(spark, sf_dir)).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 # ---- rounded as published, sources and sinks ----------------------------------------------------------------------
