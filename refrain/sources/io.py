@@ -80,9 +80,9 @@ def word_set(*frames: DataFrame) -> list[str]:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """CSV with a header; arrays and maps become JSON texts."""
+    """CSV with a header; arrays and maps become JSON texts. White space around a text is kept, which Spark's writer would cut off."""
     nested = {f.name: F.to_json(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, ArrayType | MapType | StructType)}
-    df.withColumns(nested).write.mode(mode).csv(path, header=True, escape='"')
+    df.withColumns(nested).write.mode(mode).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def parse_list(df: DataFrame, column: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """What must hold for larger tables and odd texts, shown on small ones."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from refrain import queries
 from refrain.plans import pipelines
+from tests.test_entry import rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +19,15 @@ def test_kmeans_cleans_each_song_once(spark, monkeypatch):
 
     monkeypatch.setattr(pipelines, "clean_b", counted)
     assert sum(r.n for r in queries.QUERIES["kmeans"](spark, SF).collect()) == seen.value > 0
+
+
+ODD = ["\n a", "a \n", "\t\ttab\t", "\r\na\r\n", " NA ", '"', '"a" "', 'a\n"b",c\n', "\\", '\\"', ",", "\x00a\x00", "\ufeffa", "　a ", " ", "\n", "", None, "NA", "#a"]
+
+
+@pytest.mark.parametrize("name", ["csv_songs_a"])
+def test_csv_keeps_odd_texts(spark, tmp_path, name):
+    df = spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(duck.sql(queries.ORACLES[name]).df())
