@@ -24,7 +24,7 @@ def test_kmeans_cleans_each_song_once(spark, monkeypatch):
 ODD = ["\n a", "a \n", "\t\ttab\t", "\r\na\r\n", " NA ", '"', '"a" "', 'a\n"b",c\n', "\\", '\\"', ",", "\x00a\x00", "\ufeffa", "　a ", " ", "\n", "", None, "NA", "#a"]
 
 
-@pytest.mark.parametrize("name", ["csv_songs_a"])
+@pytest.mark.parametrize("name", ["csv_songs_a", "csv_songs_b"])
 def test_csv_keeps_odd_texts(spark, tmp_path, name):
     df = spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"file://{tmp_path}/documents.parquet")
