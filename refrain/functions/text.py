@@ -13,8 +13,15 @@ SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LONGEST_WORD = 24
 
+#: What separates words: any white space; in a text that went through clean(), where no other is left, a single space is found without a
+#: pattern.
+ANY_SPACE, ONE_SPACE = f"[{SPACE}]+", " "
+
 _SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
+#: What clean() drops of ASCII: all but letters, apostrophes and white space.
+_DROPPED = "".join(c for c in map(chr, range(128)) if not (c.isalpha() or c == "'" or c in _SPACES))
+
 #: Penn Treebank splitting, of the published rules those that can match letters, spaces and apostrophes.
 TREEBANK_OPEN = [(r"([ ])('{2})", "$1 `` "), (r"([^'])' ", "$1 ' ")]
 TREEBANK = [
@@ -67,11 +74,14 @@ def dedupe_lines(c: Column, keep: int = 1) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Without bracketed tags; ASCII letters, spaces and apostrophes only; spaces collapsed; lower case."""
-    x = F.translate(_or_empty(c), "’‘", "''")
-    x = F.regexp_replace(x, r"(?d)\[.*?\]", " ")
-    x = F.regexp_replace(x, rf"[^a-zA-Z{SPACE}']", "")
-    return F.lower(F.trim(F.regexp_replace(x, f"[{SPACE}]+", " ")))
+    """Without bracketed tags; ASCII letters, spaces and apostrophes only; spaces collapsed; lower case.
+
+    Characters are mapped, and patterns have one range at most: a class that joins several, as [^a-zA-Z'] does, makes Java check
+    a type for each character, in a cache line that all threads of an executor write to, so that more cores took more time."""
+    x = F.regexp_replace(_or_empty(c), r"(?d)\[.*?\]", " ")
+    x = F.translate(x, "’‘" + _SPACES + _DROPPED, "''" + " " * len(_SPACES))
+    x = F.regexp_replace(x, r"[^\x00-\x7f]+", "")
+    return F.lower(F.trim(F.regexp_replace(x, " +", " ")))
 
 
 def slang(c: Column, table: dict[str, str] = SLANG) -> Column:
@@ -81,23 +91,23 @@ def slang(c: Column, table: dict[str, str] = SLANG) -> Column:
     return c
 
 
-def drop_long_words(c: Column, longest: int = LONGEST_WORD) -> Column:
-    return F.array_join(F.filter(F.split(c, f"[{SPACE}]+", -1), lambda w: (w != "") & (F.length(w) <= longest)), " ")
+def drop_long_words(c: Column, longest: int = LONGEST_WORD, space: str = ANY_SPACE) -> Column:
+    return F.array_join(F.filter(F.split(c, space, -1), lambda w: (w != "") & (F.length(w) <= longest)), " ")
 
 
 def preprocess(c: Column) -> Column:
     """Lines, cleaning, slang, long words, in this order; null gives an empty text."""
-    return drop_long_words(slang(clean(dedupe_lines(c))))
+    return drop_long_words(slang(clean(dedupe_lines(c))), space=ONE_SPACE)
 
 
-def treebank(c: Column) -> Column:
+def treebank(c: Column, space: str = ANY_SPACE) -> Column:
     """Tokens of a cleaned text."""
     for pattern, to in TREEBANK_OPEN:
         c = _replace(c, pattern, to, "'")
     c = F.concat(F.lit(" "), c, F.lit(" "))
     for pattern, to in TREEBANK:
         c = _replace(c, pattern, to, _needle(pattern))
-    return F.filter(F.split(c, f"[{SPACE}]+", -1), lambda w: w != "")
+    return F.filter(F.split(c, space, -1), lambda w: w != "")
 
 
 def drop_stopwords(tokens: Column, stopwords: Iterable[str] | None = None) -> Column:
@@ -117,9 +127,9 @@ def lemmatize(tokens: Column, lemmas: dict[str, str] | Column | None = None) ->
     return F.transform(tokens, lambda w: F.coalesce(F.try_element_at(lemmas, w), w))
 
 
-def tokenize(c: Column, stopwords: Iterable[str] | None = None, lemmas: dict[str, str] | Column | None = None) -> Column:
+def tokenize(c: Column, stopwords: Iterable[str] | None = None, lemmas: dict[str, str] | Column | None = None, space: str = ANY_SPACE) -> Column:
     """Tokens, without stopwords, then lemmas, which are not filtered again; null gives no tokens."""
-    return F.coalesce(lemmatize(drop_stopwords(treebank(c), stopwords), lemmas), F.array().cast("array<string>"))
+    return F.coalesce(lemmatize(drop_stopwords(treebank(c, space), stopwords), lemmas), F.array().cast("array<string>"))
 
 
 def join_words(words: Column) -> Column:

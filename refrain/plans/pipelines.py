@@ -29,5 +29,5 @@ def clean_b(df: DataFrame, stopwords: Iterable[str] | None = None, lemmas: dict[
 def _finish(df: DataFrame, stopwords: Iterable[str] | None, lemmas: dict[str, str] | None) -> DataFrame:
     df = df.withColumn("lyrics", text.preprocess(F.col("lyrics")))
     # a filter on what a generator makes isn't pushed below it, where the whole chain would run a second time
-    df = df.select("*", F.explode(F.array(text.tokenize(F.col("lyrics"), stopwords, lemmas))).alias("lyrics_tokens"))
+    df = df.select("*", F.explode(F.array(text.tokenize(F.col("lyrics"), stopwords, lemmas, text.ONE_SPACE))).alias("lyrics_tokens"))
     return songs.keep_first(songs.non_empty(df))

@@ -166,7 +166,7 @@ def slang(spark, sf_dir):
 
 @query
 def long_words(spark, sf_dir):
-    return _with_fixture(spark, sf_dir).select("row_id", text.drop_long_words(text.clean(F.col("lyrics")), 7).alias("lyrics"))
+    return _with_fixture(spark, sf_dir).select("row_id", text.drop_long_words(text.clean(F.col("lyrics")), 7, text.ONE_SPACE).alias("lyrics"))
 
 
 @query
@@ -176,18 +176,18 @@ def preprocess(spark, sf_dir):
 
 @query
 def treebank_tokens(spark, sf_dir):
-    return _with_fixture(spark, sf_dir).select("row_id", F.array_join(text.treebank(text.preprocess(F.col("lyrics"))), " ").alias("tokens"))
+    return _with_fixture(spark, sf_dir).select("row_id", F.array_join(text.treebank(text.preprocess(F.col("lyrics")), text.ONE_SPACE), " ").alias("tokens"))
 
 
 @query
 def stopword_filter(spark, sf_dir):
-    return _with_fixture(spark, sf_dir).select("row_id", F.array_join(text.tokenize(text.preprocess(F.col("lyrics"))), " ").alias("tokens"))
+    return _with_fixture(spark, sf_dir).select("row_id", F.array_join(text.tokenize(text.preprocess(F.col("lyrics")), space=text.ONE_SPACE), " ").alias("tokens"))
 
 
 @query
 def lemma_lookup(spark, sf_dir):
     lemmas = {"haha": "ha", "things": "thing", "dogs": "dog", "tails": "tail", "erest": "er"}
-    return _with_fixture(spark, sf_dir).select("row_id", F.array_join(text.tokenize(text.preprocess(F.col("lyrics")), lemmas=lemmas), " ").alias("tokens"))
+    return _with_fixture(spark, sf_dir).select("row_id", F.array_join(text.tokenize(text.preprocess(F.col("lyrics")), lemmas=lemmas, space=text.ONE_SPACE), " ").alias("tokens"))
 
 
 @query
