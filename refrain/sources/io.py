@@ -34,7 +34,7 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A CSV with a header; quoted fields may hold line ends and doubled quotes. Columns are found by name: those that the
-    schema lacks are ignored, those that the file lacks are null."""
+    schema lacks are ignored, those that the file lacks are null. Spark's parser drops NUL characters inside quoted fields."""
     header = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).columns
     full = StructType()
     for n in header:
